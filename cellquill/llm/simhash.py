@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import free_name, small, written
 from .components import components
@@ -68,7 +69,7 @@ def with_fingerprint(docs: DataFrame, text_col: str, name: str) -> DataFrame:
             fps = np.array([fingerprint(t.as_py()) for t in batch.column(at)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.int64())], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, docs.schema.add(name, "long"))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
 
 def syndrome(x: np.ndarray) -> np.ndarray:
