@@ -15,6 +15,7 @@ once each. An empty table gives an empty result. Other columns are not read.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -24,12 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, written
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, part long, open boolean"
 OUT = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 MERGED = 256  # partitions whose last windows one task merges
-CACHE = 400_000  # words a worker remembers
+CACHE = 150_000  # words a worker remembers
+DOCS = 100  # documents tokenised at once
 
 
 class WordTokenizer:
@@ -40,6 +42,8 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str):
+        # one thread: the cores belong to other tasks, and each thread would keep memory of its own
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -56,8 +60,8 @@ class WordTokenizer:
             self.known.clear()
         known = self.known
         new = list(set().union(*split) - known.keys())
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
+        for at in range(0, len(new), 2000):
+            part = new[at : at + 2000]
             for word, got in zip(part, self.encode([w.decode() for w in part], add_special_tokens=False)):
                 known[word] = np.array(got.ids, "<u4").tobytes()
         return [b"".join(map(known.__getitem__, ws)) for ws in split]
@@ -146,8 +150,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         packer = Packer(window, open_windows, min_cut, part << 36)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(ids), 500):
-                for doc, got in zip(ids[at : at + 500], tokens(texts[at : at + 500].to_pylist())):
+            for at in range(0, len(ids), DOCS):
+                for doc, got in zip(ids[at : at + DOCS], tokens(texts[at : at + DOCS].to_pylist())):
                     packer.add(doc, got + end)
                 yield rows(packer, part)
         packer.close()
@@ -161,6 +165,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         arrays.insert(7, pa.array([part] * len(arrays[0]), pa.int64()))
         return pa.RecordBatch.from_arrays(arrays, names=[*OUT, "part", "open"])
 
+    small_batches(docs.sparkSession)
     pieces = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA), "pieces")
     return pieces.where(~F.col("open")).select(*OUT).unionByName(merged(pieces.where("open"), window))
 
