@@ -30,7 +30,8 @@ from .common import small_batches, written
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, part long, open boolean"
 OUT = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 MERGED = 256  # partitions whose last windows one task merges
-CACHE = 150_000  # words a worker remembers
+CACHE = 500_000  # words a worker remembers
+MARKS = b'.,;:!?()"'  # that may stand around a word; none of them starts a contraction
 DOCS = 100  # documents tokenised at once
 
 
@@ -48,23 +49,55 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        # special tokens are found before lower-casing, so words that could hold one keep their case
         self.known: dict[bytes, bytes] = {}
+        ends = [i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[ends] = True
+
+    def learn(self, new: list[bytes]) -> None:
+        """Puts the ids of new words into the cache.
+
+        A run of letters is one token group, and its last id alone is a word's end; so bare words are encoded as one text and
+        cut there. Marks around a word are groups of their own. Other words are encoded one by one.
+        """
+        known, bare, marked, rest = self.known, [], [], []
+        for word in new:
+            core = word.strip(MARKS)
+            if not core.isalpha() and not (core and core.decode().isalpha()):
+                rest.append(word)
+            elif len(core) == len(word):
+                bare.append(word)
+            else:
+                marked.append((word, core))
+        bare = list({*bare, *(c for _, c in marked)}.difference(known))
+        for at in range(0, len(bare), 2000):
+            some = bare[at : at + 2000]
+            ids = np.array(self.encode([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
+            cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+            if len(cuts) == len(some) + 1:
+                raw = ids.tobytes()
+                known.update(zip(some, map(raw.__getitem__, map(slice, cuts, cuts[1:]))))
+            else:
+                rest += some
+        around = [(w, w[: (at := w.index(c))], c, w[at + len(c) :]) for w, c in marked]
+        rest += {m for _, head, _, tail in around for m in (head, tail)}.difference(known)
+        for at in range(0, len(rest), 2000):
+            some = rest[at : at + 2000]
+            for word, got in zip(some, self.encode([w.decode() for w in some], add_special_tokens=False)):
+                known[word] = np.array(got.ids, "<u4").tobytes()
+        for word, head, core, tail in around:
+            known[word] = known[head] + known[core] + known[tail]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         split = []
         for text in texts:
             raw = (text or "").encode("utf-8", "replace")
+            # special tokens are found before lower-casing, so words that could hold one keep their case
             split.append(raw.split() if b"<|" in raw else raw.lower().split())
         if len(self.known) > CACHE:
             self.known.clear()
-        known = self.known
-        new = list(set().union(*split) - known.keys())
-        for at in range(0, len(new), 2000):
-            part = new[at : at + 2000]
-            for word, got in zip(part, self.encode([w.decode() for w in part], add_special_tokens=False)):
-                known[word] = np.array(got.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, ws)) for ws in split]
+        self.learn(list(set().union(*split).difference(self.known)))  # difference() looks up, the operator would walk the cache
+        return [b"".join(map(self.known.__getitem__, ws)) for ws in split]
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
