@@ -10,7 +10,7 @@ from .operators import count as C
 from .operators import grouped as G
 from .operators import records as R
 from .plans import adapter as A
-from .sources import binary, text
+from .sources import binary, blocks, text
 
 BCLEN, UMILEN = A.BCLEN, A.UMILEN
 FLAT = [*R.KEYS, "cnt"]
@@ -178,6 +178,7 @@ QUERIES = {
     "mash": _mash, "mash_ecs": _mash_ecs,
     "merge": lambda s, d: R.merge(_fragments(s, d), A.ec_tx(s, d)),
     "bus_roundtrip": _roundtrip(binary.write_bus, binary.read_bus),
+    "busz_roundtrip": _roundtrip(blocks.write_busz, blocks.read_busz),
 }
 
 
@@ -301,4 +302,5 @@ f AS (SELECT DISTINCT flags >> 3 AS flags, flags % 8 AS pad, CAST(ec % 3 + 400 A
 p AS (SELECT DISTINCT flags, pad FROM f),
 opened AS (SELECT p.flags, p.pad AS snap, f.ec FROM p JOIN f ON f.flags = p.flags AND f.pad < p.pad GROUP BY ALL HAVING count(*) % 2 = 1)"""),
     "bus_roundtrip": sql(_MERGED.format(flags="flags")),
+    "busz_roundtrip": sql(_MERGED.format(flags="flags")),
 }
