@@ -65,17 +65,23 @@ def merge_umis(umis: np.ndarray, counts: np.ndarray, genes: list[frozenset], umi
 
 
 def correct_umis(bus: DataFrame, ec_gene: DataFrame, umilen: int) -> DataFrame:
-    """Records with corrected UMIs; those of one molecule and class are summed."""
-    rows = bus.groupBy("barcode", "umi", "ec").agg(F.sum("count").alias("count"), F.min("flags").alias("flags"), F.min("pad").alias("pad"))
+    """Records with corrected UMIs; those of one molecule and class are summed.
+
+    Molecules are taken in order of their first record (``_rid``, where there is one), then of their UMI.
+    """
+    first = F.min("_rid") if "_rid" in bus.columns else F.lit(0).cast("long")
+    rows = bus.groupBy("barcode", "umi", "ec").agg(F.sum("count").alias("count"), F.min("flags").alias("flags"), F.min("pad").alias("pad"), first.alias("first"))
     rows = rows.join(dictionary(gene_sets(ec_gene)), "ec", "left")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["umi", "ec"], kind="stable").reset_index(drop=True)
+        pdf["first"] = pdf.groupby("umi")["first"].transform("min")
+        pdf = pdf.sort_values(["first", "umi", "ec"], kind="stable").reset_index(drop=True)
         sets = [frozenset(g) if g is not None else frozenset() for g in pdf["genes"]]
-        umis, starts = np.unique(pdf["umi"].to_numpy(), return_index=True)
+        umi = pdf["umi"].to_numpy()
+        starts = np.flatnonzero(np.r_[True, umi[1:] != umi[:-1]])
         genes = [frozenset.intersection(*sets[a:b]) for a, b in zip(starts, [*starts[1:], len(pdf)])]
-        counts = np.add.reduceat(pdf["count"].to_numpy(), starts)
-        pdf["umi"] = merge_umis(umis, counts, genes, umilen)[np.searchsorted(umis, pdf["umi"].to_numpy())]
+        merged = merge_umis(umi[starts], np.add.reduceat(pdf["count"].to_numpy(), starts), genes, umilen)
+        pdf["umi"] = np.repeat(merged, np.diff(np.r_[starts, len(pdf)]))
         return pdf.groupby(["barcode", "umi", "ec"], as_index=False).agg({"count": "sum", "flags": "first", "pad": "first"})
 
     return rows.groupBy("barcode").applyInPandas(one, "barcode long, umi long, ec int, count long, flags long, pad long")

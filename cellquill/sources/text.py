@@ -59,7 +59,7 @@ def _tokens(spark: SparkSession, path: str) -> DataFrame:
 
 def read_ecs(spark: SparkSession, path: str) -> DataFrame:
     """(ec, tx) of a class matrix; transcripts in any order, separated by commas."""
-    return _tokens(spark, path).select(F.get("p", F.lit(0)).cast("int").alias("ec"), F.explode(F.split(F.get("p", F.lit(1)), ",")).cast("int").alias("tx")).distinct()
+    return _tokens(spark, path).select(F.get("p", F.lit(0)).cast("int").alias("ec"), F.explode(F.split(F.get("p", F.lit(1)), ",").cast("array<int>")).alias("tx")).distinct()
 
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
