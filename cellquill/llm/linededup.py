@@ -73,7 +73,7 @@ def deletions(fps: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram_words: int = GRAM_WORDS, window_words: int = WINDOW_WORDS) -> DataFrame:
     """``docs`` with later repeated runs of lines deleted from the text, and n_lines and removed_lines for each row."""
-    n_lines, removed, a, b, lines, gone = (free_name(docs, n) for n in ("n_lines", "removed_lines", "_a", "_b", "_lines", "_gone"))
+    n_lines, removed, a, b, lines, gone, ga, gb = (free_name(docs, n) for n in ("n_lines", "removed_lines", "_a", "_b", "_lines", "_gone", "_ga", "_gb"))
     text = F.col(text_col)
     # the text travels as its lines: they are cut once, before the join
     keyed = docs.withColumn(a, F.coalesce(F.col(id_col), F.lit(LAST))).withColumn(b, F.xxhash64(text)).withColumn(lines, F.split(text, "\n", -1))
@@ -81,8 +81,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     units = keyed.select(F.col(a).alias("a"), F.col(b).alias("b"), F.posexplode(lines).alias("pos", "line"))
     units = units.select("a", "b", "pos", F.xxhash64(F.trim(F.col("line"), F.lit(" \t\n\v\f\r"))).alias("h"), (F.regexp_count("line", F.lit(WORD))).cast("long").alias("w")).where("w > 0")
     units = units.repartition("a", "b").dropDuplicates(["a", "b", "pos"])
-    found = deletions(fingerprints(units, gram_words, window_words)).select(F.col("a").alias("_ga"), F.col("b").alias("_gb"), F.col("gone").alias(gone))
-    joined = keyed.join(found, (F.col(a) == F.col("_ga")) & (F.col(b) == F.col("_gb")), "left")
+    found = deletions(fingerprints(units, gram_words, window_words)).select(F.col("a").alias(ga), F.col("b").alias(gb), F.col("gone").alias(gone))
+    joined = keyed.join(found, (F.col(a) == F.col(ga)) & (F.col(b) == F.col(gb)), "left")
     every = F.sequence(F.lit(0), F.size(lines) - 1)
     left = F.when(F.col(gone).isNull(), F.col(lines)).otherwise(F.transform(F.array_except(every, F.col(gone)), lambda i: F.get(lines, i)))
     out = [F.array_join(left, "\n").alias(c) if c == text_col else F.col(c) for c in docs.columns]

@@ -51,45 +51,50 @@ def offset(source: Column, seed: str) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix", keep: bool = True) -> DataFrame:
-    """``docs`` with mix_size, mix_source_size, mix_target and mix_copies (how often the mix takes the row); ``keep`` False: the id column and these only."""
-    names = {n: free_name(docs, n) for n in ("_size", "_src", "_bin", "_bucket")}
-    size, src, bin_, bucket = (F.col(names[n]) for n in ("_size", "_src", "_bin", "_bucket"))
-    carried = docs.columns if keep else [id_col]
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (default: all) of ``docs`` with mix_size, mix_source_size, mix_target and mix_copies (how often the mix takes the row); see ``names``."""
+    kept = docs.columns if keep is None else keep
+    # the row travels as one value, so that its columns' names clash with none here
+    row = F.struct(*kept).alias("row")
     # the prefix keeps a null source apart from every other one, and makes all keys plain equalities
-    key = F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit(""))
-    rows = docs.select(*carried, word_count(F.col(text_col)).alias(names["_size"]), key.alias(names["_src"]))
-    rows = rows.withColumn(names["_bin"], F.floor(F.sqrt(size.cast("double"))))
-    rows = rows.withColumn(names["_bucket"], F.substring(F.md5(F.coalesce(F.col(id_col), size).cast("string").cast("binary")), 1, BUCKET_HEX))
-    counts = rows.groupBy(src.alias("_s"), bin_.alias("_b"), bucket.alias("_k")).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("w"))
-    bins = counts.groupBy("_s", "_b").agg(F.sum("n").alias("bn"), F.sum("w").alias("bw"))
-    before = (Window.unboundedPreceding, -1)
-    zero = F.lit(0)
-    bins = bins.withColumn("base", F.coalesce(F.sum("bn").over(Window.partitionBy("_s").orderBy("_b").rowsBetween(*before)), zero))
-    sizes = bins.groupBy("_s").agg(F.sum("bw").alias("size")).select(F.when(F.col("_s") != "", F.expr("substring(_s, 2)")).alias("source"), F.col("size").cast("double").alias("size"))
+    source = F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("")).alias("src")
+    rows = docs.select(row, F.col(id_col).alias("id"), word_count(F.col(text_col)).alias("size"), source)
+    rows = rows.withColumn("bin", F.floor(F.sqrt(F.col("size").cast("double"))))
+    rows = rows.withColumn("bucket", F.substring(F.md5(F.coalesce("id", "size").cast("string").cast("binary")), 1, BUCKET_HEX))
+    counts = rows.groupBy("src", "bin", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("w"))
+    before, zero = (Window.unboundedPreceding, -1), F.lit(0)
+    bins = counts.groupBy("src", "bin").agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
+    bins = bins.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("src").orderBy("bin").rowsBetween(*before)), zero))
+    sizes = bins.groupBy("src").agg(F.sum("w").alias("size")).select(F.when(F.col("src") != "", F.expr("substring(src, 2)")).alias("source"), F.col("size").cast("double").alias("size"))
     targets = source_targets(sizes, weights, share, most)
     ratio = F.when(F.col("size") > 0, F.least(F.col("target") / F.col("size"), F.lit(most))).otherwise(F.lit(0.0))
-    targets = targets.select(F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("_s"), F.col("size").cast("long").alias("mix_source_size"), F.col("target").alias("mix_target"), ratio.alias("_r"), offset(F.col("source"), seed).alias("_u"))
-    bins = bins.join(targets, "_s").select("_s", "_b", "base", "mix_source_size", "mix_target", "_r", "_u")
-    inner = F.coalesce(F.sum("n").over(Window.partitionBy("_s", "_b").orderBy("_k").rowsBetween(*before)), zero)
-    blocks = counts.select("_s", "_b", "_k", inner.alias("inner")).join(bins, ["_s", "_b"]).withColumn("base", F.col("base") + F.col("inner")).drop("inner")
-    joined = rows.join(blocks, (src == F.col("_s")) & (bin_ == F.col("_b")) & (bucket == F.col("_k")))
-    rank = F.col("base") + F.row_number().over(Window.partitionBy(src, bin_, bucket).orderBy(size, F.col(id_col).asc_nulls_last()))
-    joined = joined.withColumn("_rank", rank.cast("double"))
-    crossed = F.floor(F.col("_r") * F.col("_rank") + F.col("_u")) - F.floor(F.col("_r") * (F.col("_rank") - 1) + F.col("_u"))
-    return joined.select(*[F.col(c) for c in carried], size.alias("mix_size"), "mix_source_size", "mix_target", crossed.cast("long").alias("mix_copies"))
+    targets = targets.select(F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("src"), F.col("size").cast("long").alias("source_size"), "target", ratio.alias("ratio"), offset(F.col("source"), seed).alias("offset"))
+    bins = bins.select("src", "bin", "base").join(targets, "src")
+    inner = F.coalesce(F.sum("n").over(Window.partitionBy("src", "bin").orderBy("bucket").rowsBetween(*before)), zero)
+    blocks = counts.select("src", "bin", "bucket", inner.alias("inner")).join(bins, ["src", "bin"])
+    place = Window.partitionBy("src", "bin", "bucket").orderBy("size", F.col("id").asc_nulls_last())
+    joined = rows.join(blocks, ["src", "bin", "bucket"]).withColumn("rank", (F.col("base") + F.col("inner") + F.row_number().over(place)).cast("double"))
+    crossed = F.floor(F.col("ratio") * F.col("rank") + F.col("offset")) - F.floor(F.col("ratio") * (F.col("rank") - 1) + F.col("offset"))
+    out = (F.col("size"), F.col("source_size"), F.col("target"), crossed.cast("long"))
+    return joined.select("row.*", *[c.alias(n) for c, n in zip(out, names(docs))])
 
 
-def emitted(mixed: DataFrame) -> DataFrame:
-    """Each row as often as the mix takes it, without the mix's own columns."""
-    out = [c for c in mixed.columns if not c.startswith("mix_")]
-    return mixed.where("mix_copies > 0").withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("mix_copies").cast("int")))).select(*out)
+def names(docs: DataFrame) -> list[str]:
+    """What ``mix`` calls its columns: underlined if ``docs`` has such a name itself."""
+    return [free_name(docs, n) for n in ("mix_size", "mix_source_size", "mix_target", "mix_copies")]
+
+
+def emitted(docs: DataFrame, **options) -> DataFrame:
+    """Each row of ``docs`` as often as the mix takes it; ``options`` go to ``mix``."""
+    copies = names(docs)[-1]
+    taken = mix(docs, **options).where(F.col(copies) > 0)
+    return taken.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col(copies).cast("int"))).alias(copies)).select(*docs.columns)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
-    m = mix(table(spark, sf_dir, "documents"), keep=False)
+    m = mix(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return m.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_copies") * F.col("mix_size")).alias("taken"))
 
 

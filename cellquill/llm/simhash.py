@@ -216,15 +216,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component: that of the smallest id (null last; of several such rows any one)."""
     _, placed = classes(docs, id_col, text_col)
-    kept = placed.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "fp")).alias("k")).select(F.col("k.least").alias("_id"), F.col("k.fp").alias("_fp"))
-    fp, key = free_name(docs, "_row_fp"), free_name(docs, "_key")
-    rows = with_fingerprint(docs, text_col, fp)
-    # one plain key, so that rows without an id join too
-    rows = rows.withColumn(key, F.xxhash64(F.col(id_col).cast("long"), F.col(fp)))
-    kept = kept.select("_id", "_fp", F.xxhash64("_id", "_fp").alias("_kept"))
-    joined = rows.join(kept, (F.col(key) == F.col("_kept")) & (F.col(fp) == F.col("_fp")) & F.col(id_col).eqNullSafe(F.col("_id")))
-    order = Window.partitionBy(key).orderBy(F.lit(0))
-    return joined.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*docs.columns)
+    kept = placed.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "fp")).alias("k")).select(F.col("k.least").alias("id"), F.col("k.fp").alias("kept_fp"))
+    kept = kept.select("id", "kept_fp", F.xxhash64("id", "kept_fp").alias("kept"))
+    fp = free_name(docs, "fp")
+    # the row travels as one value; one plain key, so that rows without an id join too
+    rows = with_fingerprint(docs, text_col, fp).select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("row_id"), F.col(fp).alias("row_fp"))
+    rows = rows.withColumn("key", F.xxhash64("row_id", "row_fp"))
+    joined = rows.join(kept, (F.col("key") == F.col("kept")) & (F.col("row_fp") == F.col("kept_fp")) & F.col("row_id").eqNullSafe(F.col("id")))
+    order = Window.partitionBy("key").orderBy(F.lit(0))
+    return joined.withColumn("n", F.row_number().over(order)).where("n = 1").select("row.*")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

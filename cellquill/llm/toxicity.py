@@ -1,9 +1,9 @@
 """Toxicity: a learned lexicon, matched through Levenshtein automata, weighed by context windows.
 
-From a bounded, hash-chosen sample of labelled documents (``sample`` rows) the lexicon takes the words, and stems of 4 to 6
+From a bounded, hash-chosen sample of labelled documents (``sample`` rows) the lexicon takes the words, and stems of 4 to 8
 letters, that toxic documents use far more often than others. Its trie is intersected with the terms' Levenshtein automata:
 a state of the product is the set of (trie node, edits so far), made when first met, so a word costs one step a letter and
-most words die after a few. Stems match exactly; words match within one edit from 5 letters, two from 9.
+most words die after a few. Stems match exactly; words match within one edit from 5 letters, two from 9, unless the sample's clean documents use the word themselves.
 
 Each hit is weighed in a window of ``WINDOW`` words to either side: in quotation marks, or next to a word of reporting, it
 counts ``QUOTED``. The sums of exact and of misspelled hits, and the densest window, go into a logistic model that is fitted
@@ -33,7 +33,8 @@ from .common import fold, free_name, written
 
 SAMPLE, TERMS, CACHE = 20_000, 512, 1_000_000
 WINDOW, QUOTED = 8, 0.3
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7, 8)
+ORDINARY = 20_000  # words of clean documents that are no misspellings
 LEAST_LLR, LEAST_RATIO = 16.0, 20.0
 # Quotation marks and words of reporting.
 QUOTES = "\"'“”„«»‹›‘’"
@@ -116,9 +117,16 @@ class Lexicon:
         return stem or state[""]
 
 
+class Model:
+    """Entries of the lexicon with their weights, ordinary words that look like them, and the logistic weights."""
+
+    def __init__(self, terms: dict[str, float], ordinary: frozenset[str] = frozenset(), weights: np.ndarray | None = None):
+        self.terms, self.ordinary, self.weights = terms, ordinary, np.zeros(0) if weights is None else weights
+
+
 class Scorer:
-    def __init__(self, terms: list[str], weights: np.ndarray):
-        self.lexicon, self.weights = Lexicon(terms), weights
+    def __init__(self, model: Model):
+        self.lexicon, self.terms, self.ordinary, self.weights = Lexicon(list(model.terms)), model.terms, model.ordinary, model.weights
         self.seen: set[str] = set()
         self.hits: dict[str, tuple[str, int]] = {}
 
@@ -129,7 +137,7 @@ class Scorer:
         for token in distinct - self.seen:
             for word in LETTERS.findall(token):
                 found = self.lexicon.match(word)
-                if found and (token not in self.hits or found[1] < self.hits[token][1]):
+                if found and not (found[1] and word in self.ordinary) and (token not in self.hits or found[1] < self.hits[token][1]):
                     self.hits[token] = found
         self.seen |= distinct
         if len(self.seen) > CACHE:
@@ -141,8 +149,8 @@ class Scorer:
         at = [i for i, t in enumerate(tokens) if t in here]
         sums, weights = [0.0, 0.0], []
         for i in at:
-            w = QUOTED if quoted(tokens, i) else 1.0
-            miss = self.hits[tokens[i]][1] > 0
+            term, off = self.hits[tokens[i]]
+            w, miss = (QUOTED if quoted(tokens, i) else 1.0) * self.terms[term], off > 0
             sums[miss] += w
             weights.append(w * (0.5 if miss else 1.0))
         dense, first, inside = 0.0, 0, 0.0
@@ -175,12 +183,12 @@ def _llr(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> np.ndarray:
     return 2 * (part(a, na, a / na) + part(b, nb, b / nb) - part(a, na, p) - part(b, nb, p))
 
 
-def learn_terms(sample: DataFrame) -> list[str]:
-    """Lexicon entries from ``sample`` (text, toxic)."""
+def learn_terms(sample: DataFrame) -> dict[str, float]:
+    """Lexicon entries from ``sample`` (text, toxic) with weights: their log odds, over that of a word in a tenth of toxic and 1/1000 of other documents, at most 1.5."""
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
-        return []
+        return {}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = (Counter(), Counter())
@@ -206,7 +214,10 @@ def learn_terms(sample: DataFrame) -> list[str]:
             # as specific as it can be: the longest stem that loses hardly any of its documents
             stems.append(max((s for s, n in counted.items() if s.startswith(t) and n >= 0.95 * a), key=lambda s: (len(s), counted[s], s)))
     kept = [w for w in words if not w.startswith(tuple(stems))] if stems else list(words)
-    return sorted([*kept, *(s + "*" for s in stems)], key=lambda t: (-dict(zip(top["term"], top["a"]))[t], t))[:TERMS]
+    odds = {t: np.log(((a + 0.5) / n1) / ((b + 0.5) / n0)) / np.log(100) for t, a, b in zip(top["term"], top["a"], top["b"])}
+    often = dict(zip(top["term"], top["a"]))
+    chosen = sorted([*kept, *(s + "*" for s in stems)], key=lambda t: (-often[t], t))[:TERMS]
+    return {t: float(min(1.5, max(0.1, odds[t]))) for t in chosen}
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
@@ -222,8 +233,8 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> n
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """(lexicon, weights) from the labelled rows for whose id ``held_out`` doesn't hold."""
+def train(docs: DataFrame, labels: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
+    """The model from the labelled rows for whose id ``held_out`` doesn't hold."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("long").alias("toxic"))
     n = known.count()
     draw = F.pmod(F.xxhash64("_id", F.lit("toxicity sample")), F.lit(1_000_003)) / 1_000_003
@@ -231,20 +242,31 @@ def train(docs: DataFrame, labels: DataFrame, held_out, id_col: str = "doc_id",
     rows = written(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(known), "_id").select("text", "toxic"), "labelled")
     terms = learn_terms(rows)
     if not terms:
-        return [], np.zeros(0)
+        return Model({})
+
+    def lookalikes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon, seen = Lexicon(list(terms)), Counter()
+        for batch in batches:
+            for text in batch.column(0):
+                seen.update(set(LETTERS.findall((text.as_py() or "").lower())))
+        near = [w for w in seen if (m := lexicon.match(w)) and m[1]]
+        yield pa.RecordBatch.from_arrays([pa.array(near, pa.string()), pa.array([seen[w] for w in near], pa.int64())], names=["word", "n"])
+
+    near = rows.where("toxic = 0").select("text").mapInArrow(lookalikes, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(ORDINARY)
+    ordinary = frozenset(r[0] for r in near.collect())
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(terms, np.zeros(4))
+        scorer = Scorer(Model(terms, ordinary))
         for batch in batches:
             got = [scorer.features(t.as_py()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], pa.float64()) for i in range(3)] + [batch.column(1)], names=["x1", "x2", "x3", "y"])
 
     seen: pd.DataFrame = rows.mapInArrow(measure, "x1 double, x2 double, x3 double, y long").groupBy("x1", "x2", "x3", "y").count().toPandas()  # at most ``sample`` rows
     seen = seen.loc[seen.index.repeat(seen["count"])]
-    return terms, fit(seen[["x1", "x2", "x3"]].to_numpy(), seen["y"].to_numpy(float))
+    return Model(terms, ordinary, fit(seen[["x1", "x2", "x3"]].to_numpy(), seen["y"].to_numpy(float)))
 
 
-def score(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (default: all) and the score of each row."""
     keep = docs.columns if keep is None else keep
     name, text = free_name(docs, "score"), free_name(docs, "_text")
@@ -252,7 +274,7 @@ def score(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str =
     schema = rows.drop(text).schema.add(name, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(*model)
+        scorer = Scorer(model)
         for batch in batches:
             got = pa.array([scorer.score(t.as_py()) for t in batch.column(batch.num_columns - 1)], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], got], names=[*batch.schema.names[:-1], name])

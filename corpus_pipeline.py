@@ -16,14 +16,18 @@ LEAST_SHARE = 0.4
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from all labelled rows; drops what has no letters or no main language; fills in missing languages."""
     model = langid.train(docs, F.lit(False))
-    found = langid.identify(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE))
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    found = langid.identify(docs, model)
+    pred, score = found.columns[-2:]
+    found = found.where((F.col(pred) != "und") & (F.col(score) >= LEAST_SHARE))
+    return found.withColumn("lang", F.coalesce("lang", pred)).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes later repeated runs of lines; a document goes if that leaves it without a word."""
-    cleaned = linededup.dedup_lines(docs).where((F.col("removed_lines") == 0) | (F.regexp_count("text", F.lit(WORD)) > 0))
-    return cleaned.withColumn("n_chars", F.when(F.col("removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    cleaned = linededup.dedup_lines(docs)
+    removed = F.col(cleaned.columns[-1])
+    cleaned = cleaned.where((removed == 0) | (F.regexp_count("text", F.lit(WORD)) > 0))
+    return cleaned.withColumn("n_chars", F.when(removed > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +37,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Emits each document as often as the mix takes it."""
-    return mixing.emitted(mixing.mix(docs))
+    return mixing.emitted(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
