@@ -142,7 +142,8 @@ def gene_counts_em(bus: DataFrame, ec_gene: DataFrame) -> DataFrame:
     def cell(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = sorted((tuple(g), n) for g, n in zip(pdf["genes"], pdf["n"]))
         got = expectation_maximisation({g[0]: n for g, n in rows if len(g) == 1}, [r for r in rows if len(r[0]) > 1])
-        return pd.DataFrame({"barcode": int(pdf["barcode"].iloc[0]), "gene": list(got), "value": list(got.values())})
+        # plain objects, as a cell without a unique gene gives no row to tell the type by
+        return pd.DataFrame({"barcode": int(pdf["barcode"].iloc[0]), "gene": pd.Series(list(got), dtype=object), "value": pd.Series(list(got.values()), dtype=float)})
 
     return sets.groupBy("barcode").applyInPandas(cell, "barcode long, gene string, value double")
 

@@ -71,6 +71,12 @@ def test_collisions_and_em():
     assert abs(got["a"] + got["b"] - 8) < 1e-9 and abs(got["a"] - 6) < 1e-6
 
 
+def test_em_of_a_cell_without_unique_genes(spark):
+    genes = spark.createDataFrame([(0, "a"), (0, "b"), (1, "a")], "ec int, gene string")
+    bus = spark.createDataFrame([(1, 1, 0, 1, 0, 0), (2, 1, 1, 1, 0, 0), (2, 2, 0, 1, 0, 0)], SCHEMA)
+    assert [tuple(r) for r in G.gene_counts_em(bus, genes).collect()] == [(2, "a", 2.0)]
+
+
 def test_truncated_fit_finds_its_parameters():
     rng = np.random.default_rng(0)
     size, mu = 2.0, 3.0
