@@ -138,14 +138,19 @@ def gene_counts_em(bus: DataFrame, ec_gene: DataFrame) -> DataFrame:
     """Gene counts with ambiguous molecules dealt out by EM in each cell."""
     sets = molecules(bus, ec_gene).groupBy(*MOLECULE).agg(F.array_sort(F.collect_set("gene")).alias("genes"))
     sets = sets.groupBy("barcode", "genes").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    cells = sets.groupBy("barcode").agg(F.array_sort(F.collect_list(F.struct("genes", "n"))).alias("sets"))
 
-    def cell(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted((tuple(g), n) for g, n in zip(pdf["genes"], pdf["n"]))
-        got = expectation_maximisation({g[0]: n for g, n in rows if len(g) == 1}, [r for r in rows if len(r[0]) > 1])
-        # plain objects, as a cell without a unique gene gives no row to tell the type by
-        return pd.DataFrame({"barcode": int(pdf["barcode"].iloc[0]), "gene": pd.Series(list(got), dtype=object), "value": pd.Series(list(got.values()), dtype=float)})
-
-    return sets.groupBy("barcode").applyInPandas(cell, "barcode long, gene string, value double")
+    def deal(batches):
+        for b in batches:
+            out = []
+            for cell, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                rows = [(tuple(r["genes"]), r["n"]) for r in rows]
+                got = expectation_maximisation({g[0]: n for g, n in rows if len(g) == 1}, [r for r in rows if len(r[0]) > 1])
+                out += [(cell, gene, value) for gene, value in got.items()]
+            kinds = (pa.int64(), pa.string(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=["barcode", "gene", "value"])
+
+    return cells.mapInArrow(deal, "barcode long, gene string, value double")
 
 
 def zero_share(size: float, mu: float) -> float:
