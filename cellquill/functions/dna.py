@@ -17,7 +17,7 @@ def mask(bases: int) -> int:
 def encode(sequence: Column) -> Column:
     """Bits of a sequence of at most 32 bases, in either case; N counts as G. Two halves, as 32 T's don't fit a signed long."""
     digits = F.translate(F.upper(sequence), "ACGTN", "01232")
-    high, low = F.when(F.length(digits) > 16, F.expr("1") * 0 + F.length(digits) - 16).otherwise(0), F.least(F.length(digits), F.lit(16))
+    high, low = F.greatest(F.length(digits) - 16, F.lit(0)), F.least(F.length(digits), F.lit(16))
     part = lambda start, n: F.coalesce(F.conv(F.substring(digits, start, n), 4, 10).cast("long"), F.lit(0).cast("long"))
     return F.shiftleft(part(F.lit(1), high), 32).bitwiseOR(part(high + 1, low))
 

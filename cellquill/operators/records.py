@@ -146,11 +146,23 @@ def collapse(bus: DataFrame, ec_gene: DataFrame) -> DataFrame:
     return molecules(bus, ec_gene).where("gn = 1").select(*MOLECULE, "gene", F.col("copies").alias("count"))
 
 
+RUN_BLOCK_BITS = 20  # records of a block: 2 ** 20
+
+
 def with_runs(bus: DataFrame) -> DataFrame:
-    """``run``: number of the run of adjacent records (by _rid) of one molecule. For ordered, unsorted files; one task sees all rows."""
-    order = Window.orderBy("_rid")
-    new = F.coalesce(((F.lag("barcode").over(order) != F.col("barcode")) | (F.lag("umi").over(order) != F.col("umi"))).cast("int"), F.lit(1))
-    return bus.withColumn("_new", new).withColumn("run", F.sum("_new").over(order)).drop("_new")
+    """``run``: the _rid at which the run of adjacent records (by _rid) of one molecule starts.
+
+    Blocks of neighbouring records are windowed on their own; what one block hands to the next is a row for each block.
+    """
+    key, before = F.struct(*MOLECULE), (Window.unboundedPreceding, -1)
+    rows = bus.withColumn("_block", F.shiftright("_rid", RUN_BLOCK_BITS))
+    inner, outer = Window.partitionBy("_block").orderBy("_rid"), Window.orderBy("_block")
+    tails = rows.groupBy("_block").agg(F.max_by(key, "_rid").alias("_tail")).select("_block", F.lag("_tail").over(outer).alias("_ahead"))
+    last = F.coalesce(F.lag(key).over(inner), F.col("_ahead"))
+    rows = rows.join(tails, "_block").withColumn("_start", F.when(last.isNull() | (last != key), F.col("_rid")))
+    starts = rows.groupBy("_block").agg(F.max("_start").alias("_s")).select("_block", F.last("_s", ignorenulls=True).over(outer.rowsBetween(*before)).alias("_open"))
+    run = F.coalesce(F.last("_start", ignorenulls=True).over(inner.rowsBetween(Window.unboundedPreceding, 0)), F.col("_open"))
+    return rows.join(starts, "_block").withColumn("run", run).drop("_block", "_ahead", "_start", "_open")
 
 
 def collapse_runs(bus: DataFrame, ec_gene: DataFrame) -> DataFrame:
@@ -173,13 +185,13 @@ def inspect(bus: DataFrame) -> DataFrame:
 
 
 def inspect_targets(bus: DataFrame, ec_tx: DataFrame) -> DataFrame:
-    """One row: distinct targets, mean targets a record and of a singleton, reads with one target."""
+    """One row: distinct targets, mean and median targets a record, reads with one target."""
     sizes = ec_tx.groupBy("ec").agg(F.count(F.lit(1)).alias("n"))
     per = bus.groupBy("ec").agg(F.count(F.lit(1)).alias("records"), F.sum("count").alias("reads"))
-    rows = per.join(dictionary(sizes), "ec").agg(F.sum(F.col("n") * F.col("records")).alias("targets_all"), F.sum("records").alias("r"), F.sum(F.when(F.col("n") == 1, F.col("reads")).otherwise(0)).alias("singleton_reads"))
+    rows = per.join(dictionary(sizes), "ec").agg(F.sum(F.col("n") * F.col("records")).alias("targets_all"), F.sum("records").alias("r"), F.sum(F.when(F.col("n") == 1, F.col("reads")).otherwise(0)).alias("singleton_reads"), F.expr("percentile(n, 0.5, records)").alias("median_targets"))
     seen = per.join(dictionary(ec_tx), "ec").groupBy("tx").agg(F.sum("records").alias("f"))
     seen = seen.agg(F.count(F.lit(1)).alias("targets"), F.sum(F.when(F.col("f") % 2 == 1, 1).otherwise(-1)).alias("gt_targets"))
-    return rows.crossJoin(F.broadcast(seen)).select("targets", (F.col("targets_all") / F.col("r")).alias("mean_targets"), "singleton_reads", "gt_targets")
+    return rows.crossJoin(F.broadcast(seen)).select("targets", (F.col("targets_all") / F.col("r")).alias("mean_targets"), "median_targets", "singleton_reads", "gt_targets")
 
 
 def inspect_onlist(bus: DataFrame, onlist: DataFrame, bclen: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import dna
@@ -10,7 +10,7 @@ from .operators import count as C
 from .operators import grouped as G
 from .operators import records as R
 from .plans import adapter as A
-from .sources import binary, blocks, text
+from .sources import binary, blocks, classes, outputs, text
 
 BCLEN, UMILEN = A.BCLEN, A.UMILEN
 FLAT = [*R.KEYS, "cnt"]
@@ -133,6 +133,14 @@ def _roundtrip(write, read):
     return run
 
 
+def _classes_roundtrip(s, d) -> DataFrame:
+    """Classes renumbered without gaps, compressed and read back."""
+    path, sets = text.fresh(s, "classes"), A.ec_tx(s, d)
+    ids = sets.select("ec").distinct().select("ec", (F.row_number().over(Window.orderBy("ec")) - 1).cast("int").alias("n"))
+    classes.write_bec(sets.join(ids, "ec").select(F.col("n").alias("ec"), "tx"), path)
+    return classes.read_bec(s, path)
+
+
 QUERIES = {
     "count_genes": _genes(), "count_genes_multimap": _genes(multimap=True), "count_genes_raw": _genes(raw=True), "count_genes_raw_multimap": _genes(raw=True, multimap=True),
     "count_genes_cm": lambda s, d: C.gene_multiplicities(A.bus(s, d), A.ec_gene(s, d)),
@@ -165,7 +173,7 @@ QUERIES = {
     "linker": lambda s, d: flat(R.linker(_tall(s, d), 2, 5, BCLEN)),
     "collapse": lambda s, d: R.collapse(A.bus(s, d), A.ec_gene(s, d)).withColumnRenamed("count", "cnt"),
     "inspect": lambda s, d: _rounded(R.inspect(A.bus(s, d)), "mean_reads", "mean_umis"),
-    "inspect_ec": lambda s, d: _rounded(R.inspect_targets(A.bus(s, d), A.ec_tx(s, d)), "mean_targets"),
+    "inspect_ec": lambda s, d: _rounded(R.inspect_targets(A.bus(s, d), A.ec_tx(s, d)), "mean_targets", "median_targets"),
     "inspect_onlist": lambda s, d: R.inspect_onlist(A.bus(s, d), A.onlist(s, d).where("barcode % 3 = 0"), BCLEN),
     "allowlist_fixed": lambda s, d: R.allowlist(A.bus(s, d), 900),
     "allowlist_auto": lambda s, d: R.allowlist(A.bus(s, d), None, BCLEN),
@@ -179,6 +187,8 @@ QUERIES = {
     "merge": lambda s, d: R.merge(_fragments(s, d), A.ec_tx(s, d)),
     "bus_roundtrip": _roundtrip(binary.write_bus, binary.read_bus),
     "busz_roundtrip": _roundtrip(blocks.write_busz, blocks.read_busz),
+    "bec_roundtrip": _classes_roundtrip,
+    "ec_lines": lambda s, d: outputs.class_lines(A.ec_tx(s, d)),
 }
 
 
@@ -283,7 +293,7 @@ sides AS (SELECT barcode, umi, count(*) AS n, count(*) FILTER (tx % 4 = 0) AS in
     "inspect": sql("""SELECT CAST(sum(records) AS BIGINT) AS records, CAST(sum(reads) AS BIGINT) AS reads, count(*) AS barcodes, CAST(median(reads) AS DOUBLE) AS median_reads, round(CAST(sum(reads) AS DOUBLE) / count(*), 6) AS mean_reads,
 CAST(sum(umis) AS BIGINT) AS pairs, CAST(median(umis) AS DOUBLE) AS median_umis, round(CAST(sum(umis) AS DOUBLE) / count(*), 6) AS mean_umis, CAST(sum(gt) AS BIGINT) AS gt_records, (SELECT count(DISTINCT umi) FROM bus) AS umis
 FROM (SELECT barcode, count(*) AS records, sum(cnt) AS reads, count(DISTINCT umi) AS umis, sum(CASE WHEN cnt % 2 = 1 THEN 1 ELSE -1 END) AS gt FROM bus GROUP BY barcode)"""),
-    "inspect_ec": sql("SELECT (SELECT count(DISTINCT tx) FROM bus JOIN ec_tx USING (ec)) AS targets, round(CAST(sum(n) AS DOUBLE) / count(*), 6) AS mean_targets, CAST(sum(CASE WHEN n = 1 THEN cnt ELSE 0 END) AS BIGINT) AS singleton_reads, (SELECT CAST(sum(CASE WHEN f % 2 = 1 THEN 1 ELSE -1 END) AS BIGINT) FROM (SELECT tx, count(*) AS f FROM bus JOIN ec_tx USING (ec) GROUP BY tx)) AS gt_targets FROM bus JOIN (SELECT ec, count(*) AS n FROM ec_tx GROUP BY ec) USING (ec)"),
+    "inspect_ec": sql("SELECT (SELECT count(DISTINCT tx) FROM bus JOIN ec_tx USING (ec)) AS targets, round(CAST(sum(n) AS DOUBLE) / count(*), 6) AS mean_targets, round(quantile_cont(CAST(n AS DOUBLE), 0.5), 6) AS median_targets, CAST(sum(CASE WHEN n = 1 THEN cnt ELSE 0 END) AS BIGINT) AS singleton_reads, (SELECT CAST(sum(CASE WHEN f % 2 = 1 THEN 1 ELSE -1 END) AS BIGINT) FROM (SELECT tx, count(*) AS f FROM bus JOIN ec_tx USING (ec) GROUP BY tx)) AS gt_targets FROM bus JOIN (SELECT ec, count(*) AS n FROM ec_tx GROUP BY ec) USING (ec)"),
     "inspect_onlist": sql("SELECT count(DISTINCT barcode) AS barcodes_onlist, CAST(coalesce(sum(cnt), 0) AS BIGINT) AS reads_onlist FROM bus WHERE barcode IN (SELECT barcode FROM onlist WHERE barcode % 3 = 0)"),
     "allowlist_fixed": sql("SELECT barcode, CAST(sum(cnt) AS BIGINT) AS reads FROM bus GROUP BY barcode HAVING sum(cnt) >= 900"),
     "allowlist_auto": sql("SELECT * FROM c WHERE reads >= (SELECT floor(avg(reads) * (1 - 0.99 ** 8)) FROM (SELECT reads FROM c ORDER BY reads DESC, barcode LIMIT 10))", "c AS (SELECT barcode, CAST(sum(cnt) AS BIGINT) AS reads FROM bus GROUP BY barcode)"),
@@ -303,4 +313,6 @@ p AS (SELECT DISTINCT flags, pad FROM f),
 opened AS (SELECT p.flags, p.pad AS snap, f.ec FROM p JOIN f ON f.flags = p.flags AND f.pad < p.pad GROUP BY ALL HAVING count(*) % 2 = 1)"""),
     "bus_roundtrip": sql(_MERGED.format(flags="flags")),
     "busz_roundtrip": sql(_MERGED.format(flags="flags")),
+    "bec_roundtrip": sql("SELECT CAST(dense_rank() OVER (ORDER BY ec) - 1 AS INT) AS ec, tx FROM ec_tx"),
+    "ec_lines": sql("SELECT ec || chr(9) || string_agg(tx, ',' ORDER BY tx) AS value FROM ec_tx GROUP BY ec"),
 }

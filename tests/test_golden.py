@@ -8,6 +8,7 @@ from cellquill.functions import dna
 from cellquill.operators import count as C
 from cellquill.operators import grouped as G
 from cellquill.operators import records as R
+from cellquill.sources import outputs as O
 from cellquill.sources import text as T
 
 DATA = "file://" + os.path.join(os.path.dirname(os.path.abspath(__file__)), "data")
@@ -57,6 +58,14 @@ def test_count_matrix(spark, dictionaries, raw):
 def test_copies(spark, dictionaries):
     _, _, ec_gene = dictionaries
     m = C.molecules(T.read_text(spark, f"{DATA}/counts.txt"), ec_gene).cache()
+    genes = spark.createDataFrame([(r[0], i) for i, r in enumerate(rows_of("cu_expected.txt")[1:])], "label string, n int")
+    written = [r.value.split("\t") for r in O.copies_lines(C.copies_per_umi(C.histograms(m, True)), genes).collect()]
+    assert [[r[0], f"{float(r[1]):.6g}", f"{float(r[2]):.6g}"] for r in written[1:]] == rows_of("cu_expected.txt")[1:]
+    ragged = [[float(x) for x in r.value.split("\t")] for r in O.histogram_lines(C.histograms(m, True), genes).collect()]
+    assert all(abs(sum(r) - float(x[2])) < 1e-5 * (1 + sum(r)) and r[-1] > 0 for r, x in zip(ragged, written[1:]))
+    cells = m.select("barcode").distinct().selectExpr("barcode AS label", "barcode AS n")
+    lines = {r.value.split("\t")[0]: r.value.split("\t")[1:] for r in O.cell_copies_lines(C.copies_per_cell(m, True), cells, 16).collect()}
+    assert all(abs(float(lines[b][0]) - float(cu)) < 1e-4 and lines[b][1] == n for b, cu, n in rows_of("cells_expected.txt")[1:])
     got = {r.gene: (r.cu, r.umis) for r in C.copies_per_umi(C.histograms(m, True)).collect()}
     for gene, cu, umis in rows_of("cu_expected.txt")[1:]:
         assert abs(got[gene][0] - float(cu)) < 1e-4 and abs(got[gene][1] - float(umis)) < 1e-6

@@ -1,5 +1,6 @@
 """Codes, formats, orders and edge cases."""
 
+import json
 import random
 
 import numpy as np
@@ -12,7 +13,7 @@ from cellquill.functions import dna
 from cellquill.operators import count as C
 from cellquill.operators import grouped as G
 from cellquill.operators import records as R
-from cellquill.sources import binary, blocks
+from cellquill.sources import binary, blocks, classes, outputs
 from cellquill.sources import text as T
 from cellquill.streaming import cell_totals, event_counts, record_stream
 
@@ -135,3 +136,51 @@ def test_streams(spark, sf_dir):
     assert {r[0]: r[1] for r in spark.read.parquet(out).groupBy("barcode").sum("reads").collect()} == {0: 20, 1: 20, 2: 20}
     batch = event_counts(spark.read.parquet(f"{sf_dir}/events.parquet"))
     assert batch.agg(F.sum("n")).first()[0] == spark.read.parquet(f"{sf_dir}/events.parquet").count()
+
+
+def test_class_codes():
+    assert classes.codes([0, 1, 2, 5]) == [4, 1, 2, 2, 4] and classes.codes([3]) == [1, 4]
+    # 2 1 2 1 as 011 11 011 11 in one word, whose low byte is first
+    assert classes.encode_block([[0, 1]]) == (2 << 30 | 1).to_bytes(8, "little") + bytes([0xC0, 0x7B])
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 3000), min_size=1, max_size=60), min_size=1, max_size=30))
+def test_class_blocks_round_trip(sets):
+    sets = [sorted(x) for x in sets]
+    assert classes.decode_block(classes.encode_block(sets)[8:], len(sets)) == sets
+
+
+@pytest.mark.parametrize("sets", [[[0], [1], [0, 1], [5, 6, 7, 9]], [[0], [1]], [[1], [1, 2]], []])
+def test_class_files(spark, sets):
+    rows = [(i, t) for i, txs in enumerate(sets) for t in txs]
+    path = T.fresh(spark, "classes")
+    classes.write_bec(spark.createDataFrame(rows + rows[:1], "ec int, tx int"), path, rows=1)
+    assert sorted(map(tuple, classes.read_bec(spark, path).collect())) == rows
+
+
+def test_class_numbers_without_gaps(spark):
+    with pytest.raises(ValueError):
+        classes.write_bec(spark.createDataFrame([(0, 0), (2, 1)], "ec int, tx int"), T.fresh(spark, "classes"))
+
+
+def test_runs_cross_blocks(spark, monkeypatch):
+    keys = [0, 0, 1, 1, 1, 1, 1, 1, 1, 0, 0, 2, 0, 0, 0]
+    df = spark.createDataFrame([(k, k, 0, 1, 0, 0, i) for i, k in enumerate(keys)], SCHEMA + ", _rid long")
+    starts = [max(j for j in range(i + 1) if j == 0 or keys[j] != keys[j - 1]) for i in range(len(keys))]
+    for bits in (1, 2, 20):
+        monkeypatch.setattr(R, "RUN_BLOCK_BITS", bits)
+        assert [r.run for r in R.with_runs(df).orderBy("_rid").collect()] == starts
+    assert R.with_runs(df.where("false")).count() == 0
+
+
+def test_labels_and_summary(spark):
+    labels = spark.createDataFrame([(1, 2), (5, 1)], "label long, n int")
+    lines = lambda df: [r.value for r in df.collect()]
+    assert lines(outputs.barcode_lines(labels, 4)) == ["AACC", "AAAC"] and lines(outputs.prefix_lines(labels, 4)) == [] and lines(outputs.prefix_lines(labels, 32)) == []
+    assert lines(outputs.prefix_lines(labels, 1)) == ["A" * 15 + "C", "A" * 16]
+    bus = spark.createDataFrame([(0, 0, 0, 3, 0, 0), (0, 1, 1, 1, 0, 0), (2, 1, 1, 2, 0, 0)], SCHEMA)
+    got = json.loads(lines(outputs.summary_json(bus, spark.createDataFrame([(0, 0), (1, 0), (1, 1)], "ec int, tx int"), spark.createDataFrame([(2,)], "barcode long")))[0])
+    assert got["numRecords"] == 3 and got["numReads"] == 6 and got["numUMIs"] == 2 and got["medianTargetsPerSet"] == 2 and got["numTargets"] == 2 and got["numSingleton"] == 3
+    assert got["percentageBarcodesOnOnlist"] == 50 and abs(got["percentageReadsOnOnlist"] - 100 / 3) < 1e-9
+    assert len(outputs.NAMES | outputs.TARGET_NAMES | outputs.LISTED_NAMES) == len(got)
