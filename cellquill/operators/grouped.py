@@ -67,22 +67,30 @@ def merge_umis(umis: np.ndarray, counts: np.ndarray, genes: list[frozenset], umi
 def correct_umis(bus: DataFrame, ec_gene: DataFrame, umilen: int) -> DataFrame:
     """Records with corrected UMIs; those of one molecule and class are summed.
 
-    Molecules are taken in order of their first record (``_rid``, where there is one), then of their UMI.
+    Molecules are taken in order of their first record (``_rid``, where there is one), then of their UMI. Records without a
+    class are left out.
     """
     first = F.min("_rid") if "_rid" in bus.columns else F.lit(0).cast("long")
-    rows = bus.groupBy("barcode", "umi", "ec").agg(F.sum("count").alias("count"), F.min("flags").alias("flags"), F.min("pad").alias("pad"), first.alias("first"))
+    rows = bus.where("ec IS NOT NULL").groupBy("barcode", "umi", "ec").agg(F.sum("count").alias("count"), F.min("flags").alias("flags"), F.min("pad").alias("pad"), first.alias("first"))
     rows = rows.join(dictionary(gene_sets(ec_gene)), "ec", "left")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf["first"] = pdf.groupby("umi")["first"].transform("min")
-        pdf = pdf.sort_values(["first", "umi", "ec"], kind="stable").reset_index(drop=True)
-        sets = [frozenset(g) if g is not None else frozenset() for g in pdf["genes"]]
-        umi = pdf["umi"].to_numpy()
+        umi, ec, first = (pdf[c].to_numpy() for c in ("umi", "ec", "first"))
+        _, molecule = np.unique(umi, return_inverse=True)
+        least = np.full(molecule.max() + 1, first.max())
+        np.minimum.at(least, molecule, first)
+        order = np.lexsort((ec, umi, least[molecule]))
+        umi, ec, count, flags, pad, sets = (pdf[c].to_numpy()[order] for c in ("umi", "ec", "count", "flags", "pad", "genes"))
+        sets = [frozenset(g) if g is not None else frozenset() for g in sets]
         starts = np.flatnonzero(np.r_[True, umi[1:] != umi[:-1]])
-        genes = [frozenset.intersection(*sets[a:b]) for a, b in zip(starts, [*starts[1:], len(pdf)])]
-        merged = merge_umis(umi[starts], np.add.reduceat(pdf["count"].to_numpy(), starts), genes, umilen)
-        pdf["umi"] = np.repeat(merged, np.diff(np.r_[starts, len(pdf)]))
-        return pdf.groupby(["barcode", "umi", "ec"], as_index=False).agg({"count": "sum", "flags": "first", "pad": "first"})
+        genes = [frozenset.intersection(*sets[a:b]) for a, b in zip(starts, [*starts[1:], len(umi)])]
+        merged = merge_umis(umi[starts], np.add.reduceat(count, starts), genes, umilen)
+        umi = np.repeat(merged, np.diff(np.r_[starts, len(umi)]))
+        # sums by molecule and class; flags and pad are those of the first record
+        order = np.lexsort((ec, umi))
+        umi, ec, count, flags, pad = (x[order] for x in (umi, ec, count, flags, pad))
+        heads = np.flatnonzero(np.r_[True, (umi[1:] != umi[:-1]) | (ec[1:] != ec[:-1])])
+        return pd.DataFrame({"barcode": pdf["barcode"].iloc[0], "umi": umi[heads], "ec": ec[heads], "count": np.add.reduceat(count, heads), "flags": flags[heads], "pad": pad[heads]})
 
     return rows.groupBy("barcode").applyInPandas(one, "barcode long, umi long, ec int, count long, flags long, pad long")
 
