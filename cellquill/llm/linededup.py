@@ -1,13 +1,13 @@
-"""Line dedup by winnowing over line hashes, with DataFrame functions only.
+"""Line dedup by runs of line hashes, with DataFrame functions only.
 
-Units are a document's lines that hold a word, compared without surrounding blanks. The gram at a line is the shortest run of
-lines from there with at least ``gram_words`` words. A window holds the grams that start at a line and end within
-``window_words`` words (always the first one); the grams of smallest hash of all windows are the document's fingerprints. So
-two runs of whole lines that agree in ``window_words`` words or more always share a fingerprint, even if they are one line.
+Units are a document's lines that hold a word, compared without surrounding blanks. A gram is a shortest run of lines with at
+least ``gram_words`` words: each line has one from there on and one up to there. Every line of a run of ``gram_words`` words
+or more is in a gram within that run, so grams that repeat make up just the lines of all runs that repeat, whatever follows or
+precedes them, and no match is extended or cut.
 
-Documents stand in order of id (null last), then of a hash of their text. Each later position of a fingerprint is joined to
-its first position, and the match is extended line by line both ways, up to the neighbouring fingerprints (which have matches
-of their own). The lines of these matches are deleted; since every one equals a line further ahead, one copy of each stays.
+Documents stand in order of id (null last), then of a hash of their text. Each later position of a gram is joined to its first
+position, and its lines are deleted; since every one equals a line further ahead, one copy of each stays. So a line is deleted
+just if a run of ``gram_words`` words or more around it occurs before, in any document ahead or further ahead in its own.
 
 All windows are over one document's lines; fingerprints are pre-aggregated to their first position, and the join of the others
 to it is an equi-join that Spark can split where one line is in a third of all documents. Texts are shuffled once, to be
@@ -28,51 +28,37 @@ GRAM_WORDS, WINDOW_WORDS = 25, 50
 LAST = 2**63 - 1
 
 
-def fingerprints(units: DataFrame, gram_words: int, window_words: int) -> DataFrame:
-    """``units`` (a, b: the document; pos; h; w: words) to its fingerprints: (a, b, j, size, g, back, ahead), by unit number."""
+def grams(units: DataFrame, gram_words: int) -> DataFrame:
+    """``units`` (a, b: the document; pos; h; w: words) to their grams: (g, a, b, pos, last), by the positions of the gram's first and last line."""
     doc = Window.partitionBy("a", "b")
-    u = units.withColumn("c", F.sum("w").over(doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)) - F.col("w"))
-    by_words = doc.orderBy("c")
-    lines = F.collect_list("h").over(by_words.rangeBetween(0, gram_words - 1))
-    words = F.sum("w").over(by_words.rangeBetween(0, gram_words - 1))
-    u = u.select("a", "b", "pos", "h", "c", F.row_number().over(by_words).alias("j"), lines.alias("lines"), words.alias("words"))
-    gram = F.struct(F.xxhash64("lines").alias("g"), "j", F.size("lines").alias("size"), (F.col("c") + F.col("words")).alias("end"))
-    u = u.select("a", "b", "pos", "h", "c", "j", F.when(F.col("words") >= gram_words, gram).alias("gram"))
-    # the window's grams that end in time; the first may be longer
-    u = u.withColumn("near", F.collect_list("gram").over(by_words.rangeBetween(0, window_words)))
-    in_time = F.filter("near", lambda x: (x["end"] <= F.col("c") + window_words) | (x["j"] == F.col("j")))
-    u = u.withColumn("chosen", F.when(F.col("gram").isNotNull(), F.when(F.size("near") == 1, F.col("gram")).otherwise(F.array_min(in_time))))
-    docs = u.groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("j", "h", "pos"))).alias("lines"), F.collect_set("chosen").alias("chosen"))
-    docs = docs.select("a", "b", "lines", F.array_sort(F.transform("chosen", lambda x: F.struct(x["j"].alias("j"), x["g"].alias("g"), x["size"].alias("size")))).alias("chosen"))
-    # a fingerprint's surroundings end at its neighbours, or with its own gram
-    before = lambda k: F.when(k > 0, F.get("chosen", k - 1)["j"]).otherwise(1)
-    behind = lambda x, k: F.greatest(F.coalesce(F.get("chosen", k + 1)["j"], F.size("lines") + 1), x["j"] + x["size"])
-    around = F.transform("chosen", lambda x, k: F.struct(
-        x["g"].alias("g"), x["j"].alias("j"), x["size"].alias("size"), F.get("lines", x["j"] - 1)["pos"].alias("pos"),
-        F.reverse(F.slice("lines", before(k), x["j"] - before(k))).alias("back"), F.slice("lines", x["j"] + 1, behind(x, k) - x["j"] - 1).alias("ahead"),
-    ))
-    return docs.select("a", "b", F.inline(around))
-
-
-def agreeing(x, y):
-    """Number of leading elements in which the arrays agree."""
-    differs = F.array_position(F.zip_with(x, y, lambda p, q: F.coalesce(p == q, F.lit(False))), False)
-    return F.when(differs > 0, differs - 1).otherwise(F.least(F.size(x), F.size(y)))
-
-
-def deletions(fps: DataFrame) -> DataFrame:
-    """(a, b, gone): for each document the positions of the lines that repeat an earlier run."""
-    fps = fps.withColumn("back_h", F.transform("back", lambda x: x["h"])).withColumn("ahead_h", F.transform("ahead", lambda x: x["h"]))
-    first = fps.groupBy("g").agg(F.min(F.struct("a", "b", "j", "back_h", "ahead_h")).alias("f"))
-    later = fps.join(first, "g").where(F.struct("a", "b", "j") != F.struct("f.a", "f.b", "f.j"))
-    n_back, n_ahead = agreeing(F.col("back_h"), F.col("f.back_h")), F.greatest(F.col("size") - 1, agreeing(F.col("ahead_h"), F.col("f.ahead_h")))
-    run = F.concat(F.slice("back", F.lit(1), n_back), F.slice("ahead", F.lit(1), n_ahead))
-    run = F.concat(F.array("pos"), F.transform(run, lambda x: x["pos"]))
-    return later.select("a", "b", run.alias("run")).groupBy("a", "b").agg(F.array_distinct(F.flatten(F.collect_list("run"))).alias("gone"))
+    u = units.withColumn("c", F.sum("w").over(doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
+    u = u.withColumn("start", F.col("c") - F.col("w"))
+    ahead, back = doc.orderBy("start").rangeBetween(0, gram_words - 1), doc.orderBy("c").rangeBetween(1 - gram_words, 0)
+    gram = lambda lines, first, last: F.struct(F.xxhash64(lines).alias("g"), first.alias("pos"), last.alias("last"))
+    u = u.select(
+        "a", "b", "pos", F.collect_list("h").over(ahead).alias("ahead"), F.sum("w").over(ahead).alias("ahead_w"), F.max("pos").over(ahead).alias("last"),
+        F.collect_list("h").over(back).alias("back"), F.sum("w").over(back).alias("back_w"), F.min("pos").over(back).alias("first"),
+    )
+    found = F.array(
+        F.when(F.col("ahead_w") >= gram_words, gram("ahead", F.col("pos"), F.col("last"))),
+        F.when(F.col("back_w") >= gram_words, gram("back", F.col("first"), F.col("pos"))),
+    )
+    return u.select("a", "b", F.inline(F.array_distinct(F.array_compact(found))))
+
+
+def deletions(grams: DataFrame) -> DataFrame:
+    """(a, b, gone): for each document the positions that repeat an earlier run, with those of lines without a word between them."""
+    first = grams.groupBy("g").agg(F.min(F.struct("a", "b", "pos")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("g", "f")
+    later = grams.join(first, "g").where(F.struct("a", "b", "pos") != F.col("f"))
+    runs = later.groupBy("a", "b").agg(F.collect_set(F.struct("pos", "last")).alias("runs"))
+    return runs.select("a", "b", F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["pos"], r["last"])))).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram_words: int = GRAM_WORDS, window_words: int = WINDOW_WORDS) -> DataFrame:
-    """``docs`` with later repeated runs of lines deleted from the text, and n_lines and removed_lines for each row."""
+    """``docs`` with later repeated runs of lines deleted from the text, and n_lines and removed_lines for each row.
+
+    Runs of ``gram_words`` words are found without windows; ``window_words`` has no effect and is taken for older callers.
+    """
     n_lines, removed, a, b, lines, gone, ga, gb = (free_name(docs, n) for n in ("n_lines", "removed_lines", "_a", "_b", "_lines", "_gone", "_ga", "_gb"))
     text = F.col(text_col)
     # the text travels as its lines: they are cut once, before the join
@@ -81,8 +67,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     units = keyed.select(F.col(a).alias("a"), F.col(b).alias("b"), F.posexplode(lines).alias("pos", "line"))
     units = units.select("a", "b", "pos", F.xxhash64(F.trim(F.col("line"), F.lit(" \t\n\v\f\r"))).alias("h"), (F.regexp_count("line", F.lit(WORD))).cast("long").alias("w")).where("w > 0")
     units = units.repartition("a", "b").dropDuplicates(["a", "b", "pos"])
-    found = deletions(fingerprints(units, gram_words, window_words)).select(F.col("a").alias(ga), F.col("b").alias(gb), F.col("gone").alias(gone))
+    found = deletions(grams(units, gram_words)).select(F.col("a").alias(ga), F.col("b").alias(gb), F.col("gone").alias(gone))
     joined = keyed.join(found, (F.col(a) == F.col(ga)) & (F.col(b) == F.col(gb)), "left")
+    joined = joined.withColumn(gone, F.filter(gone, lambda i: F.get(lines, i).rlike(WORD)))
     every = F.sequence(F.lit(0), F.size(lines) - 1)
     left = F.when(F.col(gone).isNull(), F.col(lines)).otherwise(F.transform(F.array_except(every, F.col(gone)), lambda i: F.get(lines, i)))
     out = [F.array_join(left, "\n").alias(c) if c == text_col else F.col(c) for c in docs.columns]

@@ -145,6 +145,45 @@ def test_long_passages_leave_one_copy(spark):
     assert got[0] == rows[0][1] and all(t == f"own line {i} of a text\nlast line {i}" for i, t in enumerate(got) if i)
 
 
+def repeated_lines(rows, least=25):
+    """Deletes what is in a run of ``least`` words or more that occurs before, by looking at all runs."""
+    docs = sorted({(linededup.LAST if i is None else i, hash_of(t.encode()), t) for i, t in rows if t is not None})
+    seen, gone = set(), collections.defaultdict(set)
+    for a, b, text in docs:
+        u = [(k, line.strip(" \t\n\v\f\r"), len(line.encode().split())) for k, line in enumerate(text.split("\n"))]
+        u = [x for x in u if x[2]]
+        for p in range(len(u)):
+            run, n = (), 0
+            for q in range(p, len(u)):
+                run, n = (*run, u[q][1]), n + u[q][2]
+                if n >= least and run in seen:
+                    gone[a, b].update(u[k][0] for k in range(p, q + 1))
+                elif n >= least:
+                    seen.add(run)
+    return [(i, None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[linededup.LAST if i is None else i, hash_of(t.encode())])) for i, t in rows]
+
+
+def test_line_dedup_deletes_all_repeated_runs(spark):
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefghijklm") for _ in range(7))
+    line = lambda n: " ".join(word() for _ in range(n))
+    own = lambda: [line(rnd.randint(5, 15)) for _ in range(rnd.randint(3, 12))]
+    rows, n = [], 0
+    for trial in range(60):
+        run = [line(rnd.choice([10, 20])) for _ in range(6)]
+        # the second document holds only some of the run, the third is to match the first and the second
+        for lines in (own() + run[1:4] + own(), own() + run + own(), own() + run[: rnd.randint(3, 6)] + [" "] + own(), run + own() + run):
+            rows.append((n, "\n".join(lines)))
+            n += 1
+    rows += [(None, "\n".join([line(10)] * 9)), (n, "\n".join([line(4), " "] * 15))]
+    got = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = linededup.dedup_lines(got).collect()
+    expected = repeated_lines(rows)
+    assert sorted(str((r.doc_id, r.text)) for r in got) == sorted(map(str, expected))
+    lines = {i: len(t.split("\n")) - len(x.split("\n")) if x else len(t.split("\n")) for (i, t), (_, x) in zip(rows, expected)}
+    assert {r.doc_id: r.removed_lines for r in got} == lines
+
+
 # language model
 
 
