@@ -3,7 +3,9 @@
 From a bounded, hash-chosen sample of labelled documents (``sample`` rows) the lexicon takes the words, and stems of 4 to 8
 letters, that toxic documents use far more often than others. Its trie is intersected with the terms' Levenshtein automata:
 a state of the product is the set of (trie node, edits so far), made when first met, so a word costs one step a letter and
-most words die after a few. Stems match exactly; words match within one edit from 5 letters, two from 9, unless the sample's clean documents use the word themselves.
+most words die after a few. Stems match exactly and first; words, those that begin with a stem too, match within one edit from
+5 letters, two from 9, unless the word is an ordinary one: in ``ORDINARY_DOCS`` of the sample's clean documents or more, at a
+rate of ``ORDINARY_RATE`` or more, and no rarer there than in toxic ones.
 
 Each hit is weighed in a window of ``WINDOW`` words to either side: in quotation marks, or next to a word of reporting, it
 counts ``QUOTED``. The sums of exact and of misspelled hits, and the densest window, go into a logistic model that is fitted
@@ -35,6 +37,7 @@ SAMPLE, TERMS, CACHE = 20_000, 512, 1_000_000
 WINDOW, QUOTED = 8, 0.3
 STEMS = (4, 5, 6, 7, 8)
 ORDINARY = 20_000  # words of clean documents that are no misspellings
+ORDINARY_DOCS, ORDINARY_RATE = 2, 1 / 5000
 LEAST_LLR, LEAST_RATIO = 16.0, 20.0
 # Quotation marks and words of reporting.
 QUOTES = "\"'“”„«»‹›‘’"
@@ -213,13 +216,30 @@ def learn_terms(sample: DataFrame) -> dict[str, float]:
         if not any(s.startswith(t) or t.startswith(s) for s in stems) and not any(w.startswith(t) and n >= 0.9 * a for w, n in words.items()):
             # as specific as it can be: the longest stem that loses hardly any of its documents
             stems.append(max((s for s, n in counted.items() if s.startswith(t) and n >= 0.95 * a), key=lambda s: (len(s), counted[s], s)))
-    kept = [w for w in words if not w.startswith(tuple(stems))] if stems else list(words)
     odds = {t: np.log(((a + 0.5) / n1) / ((b + 0.5) / n0)) / np.log(100) for t, a, b in zip(top["term"], top["a"], top["b"])}
     often = dict(zip(top["term"], top["a"]))
-    chosen = sorted([*kept, *(s + "*" for s in stems)], key=lambda t: (-often[t], t))[:TERMS]
+    chosen = sorted([*words, *(s + "*" for s in stems)], key=lambda t: (-often[t], t))[:TERMS]
     return {t: float(min(1.5, max(0.1, odds[t]))) for t in chosen}
 
 
+def ordinary_words(sample: DataFrame, terms: dict[str, float]) -> frozenset[str]:
+    """Words of ``sample`` (text, toxic) that only look like a term: clean documents use them at the rate of an ordinary word."""
+    sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
+
+    def lookalikes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon, seen = Lexicon(list(terms)), (Counter(), Counter())
+        for batch in batches:
+            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
+                seen[toxic].update(set(LETTERS.findall((text.as_py() or "").lower())))
+        near = [w for w in seen[0].keys() | seen[1].keys() if (m := lexicon.match(w)) and m[1]]
+        yield pa.RecordBatch.from_arrays([pa.array(near, pa.string()), pa.array([seen[1][w] for w in near], pa.int64()), pa.array([seen[0][w] for w in near], pa.int64())], names=["word", "a", "b"])
+
+    near = sample.mapInArrow(lookalikes, "word string, a long, b long").groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    near = near.where((F.col("b") >= max(ORDINARY_DOCS, ORDINARY_RATE * n0)) & (F.col("b") * n1 >= F.col("a") * n0))
+    return frozenset(r[0] for r in near.orderBy(F.desc("b"), "word").limit(ORDINARY).collect())
+
+
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
     """Weights of a logistic model, intercept first and unpenalised."""
     x = np.column_stack([np.ones(len(x)), x])
@@ -244,16 +264,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out, id_col: str = "doc_id",
     if not terms:
         return Model({})
 
-    def lookalikes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, seen = Lexicon(list(terms)), Counter()
-        for batch in batches:
-            for text in batch.column(0):
-                seen.update(set(LETTERS.findall((text.as_py() or "").lower())))
-        near = [w for w in seen if (m := lexicon.match(w)) and m[1]]
-        yield pa.RecordBatch.from_arrays([pa.array(near, pa.string()), pa.array([seen[w] for w in near], pa.int64())], names=["word", "n"])
-
-    near = rows.where("toxic = 0").select("text").mapInArrow(lookalikes, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(ORDINARY)
-    ordinary = frozenset(r[0] for r in near.collect())
+    ordinary = ordinary_words(rows, terms)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(Model(terms, ordinary))

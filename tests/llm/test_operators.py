@@ -71,6 +71,19 @@ def test_quotation_counts_less():
     assert plain[0] > quote[0] == said[0] > 0 and misspelled[0] == 0 < misspelled[1]
 
 
+def test_terms_beside_a_stem_are_matched_misspelled(spark):
+    forms = ["idiot", "idiots", "idiotic"]
+    rows = [(f"you {forms[i % 3]} there", 1) for i in range(60)] + [("a day in the sun", 0)] * 597 + [("one iddiot, once", 0)] + [("the iadiot is a bird", 0)] * 2
+    sample = spark.createDataFrame(rows, "text string, toxic long").repartition(3)
+    terms = toxicity.learn_terms(sample)
+    assert "idio*" in terms and set(forms) <= set(terms)
+    ordinary = toxicity.ordinary_words(sample, terms)
+    assert ordinary == {"iadiot"}
+    scorer = toxicity.Scorer(toxicity.Model(terms, ordinary))
+    assert all(scorer.features(f"you {w} go")[1] > 0 for w in ("iddiot", "iidiots", "idoiotic"))
+    assert scorer.features("the iadiot sang") == (0, 0, 0)
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf_dir = "/root/testdata/sf0.1"
     got = toxicity.op1(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id").where("held_out").groupBy("toxic", "predicted").count().collect()
