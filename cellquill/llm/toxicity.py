@@ -7,6 +7,7 @@ most words die after a few. Stems match exactly and first; words, those that beg
 5 letters, two from 9, unless the word is an ordinary one: in ``ORDINARY_DOCS`` of the sample's clean documents or more, at a
 rate of ``ORDINARY_RATE`` or more, and no rarer there than in toxic ones.
 
+A token is matched by its runs of letters and as a whole, so that a digit or mark within a word is an edit like others.
 Each hit is weighed in a window of ``WINDOW`` words to either side: in quotation marks, or next to a word of reporting, it
 counts ``QUOTED``. The sums of exact and of misspelled hits, and the densest window, go into a logistic model that is fitted
 on the same sample; labels are used for nothing else. Whole texts are scored, in one pass without a shuffle.
@@ -43,6 +44,12 @@ LEAST_LLR, LEAST_RATIO = 16.0, 20.0
 QUOTES = "\"'“”„«»‹›‘’"
 REPORTING = frozenset("said says saying quote quoted quotes reported wrote called sagte sagt zitat dit cite dijo dice cita".split())
 LETTERS = re.compile(r"[^\W\d_]+")
+OUTER = re.compile(r"^[\W_]+|[\W_]+$")
+
+
+def spellings(token: str) -> set[str]:
+    """What of a token is matched: its runs of letters, and the whole of it without outer marks, as digits and marks may stand for letters."""
+    return {*LETTERS.findall(token), OUTER.sub("", token)} - {""}
 
 
 def edits(term: str) -> int:
@@ -138,7 +145,7 @@ class Scorer:
         tokens = (text or "").lower().split()
         distinct = set(tokens)
         for token in distinct - self.seen:
-            for word in LETTERS.findall(token):
+            for word in sorted(spellings(token)):
                 found = self.lexicon.match(word)
                 if found and not (found[1] and word in self.ordinary) and (token not in self.hits or found[1] < self.hits[token][1]):
                     self.hits[token] = found
@@ -231,7 +238,7 @@ def ordinary_words(sample: DataFrame, terms: dict[str, float]) -> frozenset[str]
         lexicon, seen = Lexicon(list(terms)), (Counter(), Counter())
         for batch in batches:
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
-                seen[toxic].update(set(LETTERS.findall((text.as_py() or "").lower())))
+                seen[toxic].update(set().union(*map(spellings, set((text.as_py() or "").lower().split()))))
         near = [w for w in seen[0].keys() | seen[1].keys() if (m := lexicon.match(w)) and m[1]]
         yield pa.RecordBatch.from_arrays([pa.array(near, pa.string()), pa.array([seen[1][w] for w in near], pa.int64()), pa.array([seen[0][w] for w in near], pa.int64())], names=["word", "a", "b"])
 

@@ -71,6 +71,13 @@ def test_quotation_counts_less():
     assert plain[0] > quote[0] == said[0] > 0 and misspelled[0] == 0 < misspelled[1]
 
 
+def test_digits_and_marks_within_words_are_edits():
+    scorer = toxicity.Scorer(toxicity.Model({"idiot": 1.0, "stupid": 1.0, "loser": 1.0, "moron": 1.0}))
+    for w in ("idi0t", "st*pid", "l_oser", "m0ron", "(idi0t)!", "1diot", "idio\u0301t"):
+        assert scorer.features(f"you {w} go")[:2] == (0, math.log(2)), w
+    assert scorer.features("an idiot-like thing")[0] > 0
+
+
 def test_terms_beside_a_stem_are_matched_misspelled(spark):
     forms = ["idiot", "idiots", "idiotic"]
     rows = [(f"you {forms[i % 3]} there", 1) for i in range(60)] + [("a day in the sun", 0)] * 597 + [("one iddiot, once", 0)] + [("the iadiot is a bird", 0)] * 2
