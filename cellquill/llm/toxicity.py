@@ -1,7 +1,8 @@
 """Toxicity: a learned lexicon, matched through Levenshtein automata, weighed by context windows.
 
 From a bounded, hash-chosen sample of labelled documents (``sample`` rows) the lexicon takes the words, and stems of 4 to 8
-letters, that toxic documents use far more often than others. Its trie is intersected with the terms' Levenshtein automata:
+letters, that toxic documents use far more often than others: those with the best evidence (log-likelihood ratio), in any
+number of documents from ``LEAST_DOCS``. Its trie is intersected with the terms' Levenshtein automata:
 a state of the product is the set of (trie node, edits so far), made when first met, so a word costs one step a letter and
 most words die after a few. Stems match exactly and first; words, those that begin with a stem too, match within one edit from
 5 letters, two from 9, unless the word is an ordinary one: in ``ORDINARY_DOCS`` of the sample's clean documents or more, at a
@@ -39,7 +40,7 @@ WINDOW, QUOTED = 8, 0.3
 STEMS = (4, 5, 6, 7, 8)
 ORDINARY = 20_000  # words of clean documents that are no misspellings
 ORDINARY_DOCS, ORDINARY_RATE = 2, 1 / 5000
-LEAST_LLR, LEAST_RATIO = 16.0, 20.0
+LEAST_DOCS, LEAST_LLR, LEAST_RATIO = 3, 16.0, 20.0
 # Quotation marks and words of reporting.
 QUOTES = "\"'“”„«»‹›‘’"
 REPORTING = frozenset("said says saying quote quoted quotes reported wrote called sagte sagt zitat dit cite dijo dice cita".split())
@@ -186,10 +187,10 @@ def quoted(tokens: list[str], i: int) -> bool:
     return (opens and closes) or any(t.strip(".,;:!?" + QUOTES) in REPORTING for t in before[:-1] + after[1:])
 
 
-def _llr(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> np.ndarray:
+def _llr(a: Column, b: Column, na: int, nb: int) -> Column:
     """Log-likelihood ratio of a of na against b of nb."""
     p = (a + b) / (na + nb)
-    part = lambda k, n, q: k * np.log(np.maximum(q, 1e-12)) + (n - k) * np.log(np.maximum(1 - q, 1e-12))
+    part = lambda k, n, q: k * F.log(F.greatest(q, F.lit(1e-12))) + (n - k) * F.log(F.greatest(1 - q, F.lit(1e-12)))
     return 2 * (part(a, na, a / na) + part(b, nb, b / nb) - part(a, na, p) - part(b, nb, p))
 
 
@@ -213,8 +214,7 @@ def learn_terms(sample: DataFrame) -> dict[str, float]:
 
     sums = sample.mapInArrow(count, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     ratio = (F.col("a") / n1) / ((F.col("b") + 0.5) / n0)
-    top = sums.where((F.col("a") >= max(3, n1 // 50)) & (ratio >= LEAST_RATIO)).orderBy(F.desc("a"), "term").limit(8 * TERMS).toPandas()
-    top = top[_llr(top["a"].to_numpy(float), top["b"].to_numpy(float), n1, n0) >= LEAST_LLR]
+    top = sums.withColumn("llr", _llr(F.col("a"), F.col("b"), n1, n0)).where((F.col("a") >= LEAST_DOCS) & (ratio >= LEAST_RATIO) & (F.col("llr") >= LEAST_LLR)).toPandas()  # of a bounded sample
     words = {t: a for t, a in zip(top["term"], top["a"]) if not t.endswith("*")}
     # a stem is kept if no single word makes up most of it, and no shorter stem does
     counted = {t[:-1]: a for t, a in zip(top["term"], top["a"]) if t.endswith("*")}
@@ -224,8 +224,8 @@ def learn_terms(sample: DataFrame) -> dict[str, float]:
             # as specific as it can be: the longest stem that loses hardly any of its documents
             stems.append(max((s for s, n in counted.items() if s.startswith(t) and n >= 0.95 * a), key=lambda s: (len(s), counted[s], s)))
     odds = {t: np.log(((a + 0.5) / n1) / ((b + 0.5) / n0)) / np.log(100) for t, a, b in zip(top["term"], top["a"], top["b"])}
-    often = dict(zip(top["term"], top["a"]))
-    chosen = sorted([*words, *(s + "*" for s in stems)], key=lambda t: (-often[t], t))[:TERMS]
+    evidence = dict(zip(top["term"], top["llr"]))
+    chosen = sorted([*words, *(s + "*" for s in stems)], key=lambda t: (-evidence[t], t))[:TERMS]
     return {t: float(min(1.5, max(0.1, odds[t]))) for t in chosen}
 
 

@@ -78,6 +78,13 @@ def test_digits_and_marks_within_words_are_edits():
     assert scorer.features("an idiot-like thing")[0] > 0
 
 
+def test_rare_certain_terms_are_learned(spark):
+    rows = [("the dolt sat", 1)] * 595 + [("ein trottel sass", 1)] * 5 + [("the ein sass sat sun", 0)] * 3000
+    terms = toxicity.learn_terms(spark.createDataFrame(rows, "text string, toxic long").repartition(3))
+    assert {"dolt", "trottel"} <= set(terms)
+    assert not {"the", "ein", "sat", "sun"} & set(terms)
+
+
 def test_terms_beside_a_stem_are_matched_misspelled(spark):
     forms = ["idiot", "idiots", "idiotic"]
     rows = [(f"you {forms[i % 3]} there", 1) for i in range(60)] + [("a day in the sun", 0)] * 597 + [("one iddiot, once", 0)] + [("the iadiot is a bird", 0)] * 2
