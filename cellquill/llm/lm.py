@@ -242,6 +242,8 @@ class Lattice:
         sums = np.zeros(len(self.logp))
         for at, codes in self.groups(batch):
             if codes is None:
+                for i in at:
+                    self.add_expected(batch[i], sums)
                 continue
             rows, n = codes.shape
             arcs = self.arcs(codes)
@@ -254,6 +256,36 @@ class Lattice:
         return sums[:-1]
 
 
+    def add_expected(self, word: str, sums: np.ndarray) -> None:
+        """Adds a long word's expected pieces to ``sums``; letters spelled in bytes add to its last, as in ``expected``."""
+        text, longest, pieces = MARK + word, self.vocab.longest, self.vocab.pieces
+        n = len(text)
+        arcs = []
+        for i in range(n):
+            out = [(j, k, float(self.logp[k])) for j in range(i + 1, min(n, i + longest) + 1) if (k := pieces.get(text[i:j])) is not None]
+            if text[i] not in pieces:
+                out.append((i + 1, len(sums) - 1, float(self.logp[self.spelled(text[i])].sum())))
+            arcs.append(out)
+        alpha: list[list[float]] = [[] for _ in range(n + 1)]
+        alpha[0] = [0.0]
+        ahead = [-math.inf] * (n + 1)
+        for i in range(n + 1):
+            ahead[i] = _logsum1(alpha[i])
+            for j, _, weight in arcs[i] if i < n else []:
+                alpha[j].append(ahead[i] + weight)
+        beta = [-math.inf] * n + [0.0]
+        for i in range(n - 1, -1, -1):
+            beta[i] = _logsum1([weight + beta[j] for j, _, weight in arcs[i]])
+        for i in range(n):
+            for j, k, weight in arcs[i]:
+                sums[k] += math.exp(ahead[i] + weight + beta[j] - ahead[n])
+
+
+def _logsum1(terms: list[float]) -> float:
+    top = max(terms, default=-math.inf)
+    return top + math.log(sum(math.exp(t - top) for t in terms)) if top > -math.inf else top
+
+
 def _logsum(terms: list[np.ndarray]) -> np.ndarray:
     terms = np.stack(terms)
     top = terms.max(axis=0)

@@ -232,6 +232,17 @@ def test_lattice_sums_all_segmentations():
     assert abs(sum(counts[i] * len(w) for w, i in vocab.pieces.items()) - 4) < 1e-9
 
 
+def test_long_words_are_fitted(monkeypatch):
+    vocab = lm.vocabulary(PIECES)
+    rng = np.random.default_rng(2)
+    lattice = lm.Lattice(vocab, lm.probabilities(vocab, rng.random(vocab.size)))
+    words = ["日本語の文は空白を持たない" * 9, "https://example.org/" + "path/" * 30, "a\U0001f600" * 40]
+    long = lattice.expected(words)
+    assert abs(sum(long[i] * len(w) for w, i in vocab.pieces.items()) - sum(len(lm.MARK + w) for w in words) + sum(w[k] not in vocab.pieces for w in words for k in range(len(w)))) < 1e-6
+    monkeypatch.setattr(lm, "LONG", 1000)
+    assert np.allclose(long, lattice.expected(words))
+
+
 def test_lm_base_scores(spark, sf_dir, texts):
     counts = collections.Counter()
     for i, t in texts.items():
