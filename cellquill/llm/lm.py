@@ -36,7 +36,8 @@ MARK = "▁"  # the vocabulary's space mark
 SMOOTH = 0.1
 LONG = 48  # letters from which a word is scored by itself
 SLOTS = 1 << 19
-START, ROUNDS = 30_000, 6
+ROUNDS = 6
+AT_ONCE = 5000  # words whose lattices are made at once
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -98,38 +99,43 @@ def probabilities(vocab: Vocabulary, counts: np.ndarray) -> np.ndarray:
 
 
 def fitted(counted: DataFrame, path: str) -> np.ndarray:
-    """Log probability of each piece by expectation-maximisation over the distinct training words.
+    """Log probability of each piece by expectation-maximisation over all distinct training words, in ``ROUNDS`` rounds and a last one.
 
-    The first rounds start from the tokenizer's own cuts and use ``START`` words; the counts that stay are those of a last
-    round over all words.
+    The rounds start from the tokenizer's own cuts, which also count letters that are no pieces.
     """
     vocab = vocabulary(path)
     cuts = piece_counts(counted, path)
     logp = probabilities(vocab, cuts)
-    start = [r[0] for r in counted.where("c > 0").orderBy(F.xxhash64("word"), "word").limit(START).collect()]
-    if not start:
+    if not cuts.any():
         return logp
-    lattice = Lattice(vocab, logp)
-    for _ in range(ROUNDS):
-        sums = lattice.expected(start)
-        sums[vocab.byte] = cuts[vocab.byte]  # letters that are no pieces
+    for _ in range(ROUNDS + 1):
+        sums = expected_counts(counted, path, logp)
+        sums[vocab.byte] = cuts[vocab.byte]
         logp = probabilities(vocab, sums)
-        lattice.weigh(logp)
+    return logp
+
+
+def expected_counts(counted: DataFrame, path: str, logp: np.ndarray) -> np.ndarray:
+    """Expected uses of each piece in all distinct training words; as many rows as pieces come to the driver."""
     held = counted.sparkSession.sparkContext.broadcast(logp)
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(vocabulary(path), held.value)
-        sums = np.zeros(len(held.value))
+        lattice = weighed(path, held.value)
+        sums, waiting = np.zeros(len(held.value)), []
         for batch in batches:
-            sums += lattice.expected(batch.column(0).to_pylist())
+            waiting += batch.column(0).to_pylist()
+            if len(waiting) >= AT_ONCE:
+                sums += lattice.expected(waiting)
+                waiting = []
+        sums += lattice.expected(waiting)
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(sums[at])], names=["piece", "n"])
 
     got = counted.where("c > 0").select("word").mapInArrow(expect, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
-    sums = np.zeros(vocab.size)
+    sums = np.zeros(len(logp))
     sums[got["piece"].to_numpy(np.int64)] = got["n"]
-    sums[vocab.byte] = cuts[vocab.byte]
-    return probabilities(vocab, sums)
+    held.destroy()
+    return sums
 
 
 def piece_counts(counted: DataFrame, path: str) -> np.ndarray:
@@ -281,6 +287,17 @@ class Lattice:
                 sums[k] += math.exp(ahead[i] + weight + beta[j] - ahead[n])
 
 
+_lattices: dict[str, Lattice] = {}
+
+
+def weighed(path: str, logp: np.ndarray) -> Lattice:
+    """The process's lattice of the vocabulary, with these weights."""
+    if path not in _lattices:
+        _lattices[path] = Lattice(vocabulary(path), logp)
+    _lattices[path].weigh(logp)
+    return _lattices[path]
+
+
 def _logsum1(terms: list[float]) -> float:
     top = max(terms, default=-math.inf)
     return top + math.log(sum(math.exp(t - top) for t in terms)) if top > -math.inf else top

@@ -243,6 +243,21 @@ def test_long_words_are_fitted(monkeypatch):
     assert np.allclose(long, lattice.expected(words))
 
 
+def test_every_round_uses_all_words(spark):
+    rows = [(f"w{i}", 1) for i in range(31_000)] + [("unlearned", 0)]
+    counted = spark.createDataFrame(rows, "word string, c long").repartition(3)
+    words = [w for w, c in rows if c]
+    got = lm.fitted(counted, PIECES)
+    vocab = lm.vocabulary(PIECES)
+    cuts = lm.piece_counts(counted, PIECES)
+    logp = lm.probabilities(vocab, cuts)
+    for _ in range(lm.ROUNDS + 1):
+        sums = lm.Lattice(vocab, logp).expected(words)
+        sums[vocab.byte] = cuts[vocab.byte]
+        logp = lm.probabilities(vocab, sums)
+    assert np.allclose(got, logp, rtol=1e-9)
+
+
 def test_lm_base_scores(spark, sf_dir, texts):
     counts = collections.Counter()
     for i, t in texts.items():
