@@ -4,11 +4,12 @@ Training counts hashed byte trigrams of a bounded, hash-chosen sample of the lab
 documents of a language, whole texts). A document's trigrams then have a likelihood under each language, and
 expectation-maximisation finds the language proportions of the document. The set of languages starts from the best single
 one and takes in another only while the penalised log likelihood grows, so that stray words don't make a text bilingual.
-The prediction is the language of the largest proportion; its score is that proportion.
+The prediction is the language of the largest proportion; its score is that proportion. Its fit is the log likelihood of the
+text under the chosen mixture, less that under equally likely trigrams: below 0 the text is like none of the languages.
 
 Memory: the model is BUCKETS x languages floats, broadcast; languages are few by nature and no text is collected.
 
-Nulls: a null text, or one without a letter, is ``und`` with score 0; null languages aren't learned from; rows with a null id
+Nulls: a null text, or one without a letter, is ``und`` with score and fit 0; null languages aren't learned from; rows with a null id
 are learned from and predicted. Without any labelled row everything is ``und``. Ties go to the language first by code point.
 Repeated rows get repeated, equal predictions. Whole texts are read. Other columns are carried along by ``identify``.
 """
@@ -47,8 +48,8 @@ class Model:
         p = counts + 0.1
         self.logp = np.log(p / p.sum(axis=0)).astype(np.float32)  # (BUCKETS, languages)
 
-    def proportions(self, text: str) -> np.ndarray:
-        """Shares of the languages in the text, 0 for those outside the chosen set."""
+    def proportions(self, text: str) -> tuple[np.ndarray, float]:
+        """Shares of the languages in the text, 0 for those outside the chosen set, and the fit of that mixture."""
         grams, n = np.unique(trigrams(text), return_counts=True)
         logp = self.logp[grams].astype(np.float64)
         n = n.astype(np.float64)
@@ -72,7 +73,7 @@ class Model:
             best, chosen = ll, [*chosen, k]
             shares[:] = 0
             shares[chosen] = pi
-        return shares
+        return shares, float(best + total * np.log(BUCKETS))
 
     @staticmethod
     def expectation_maximisation(p: np.ndarray, n: np.ndarray, total: float) -> tuple[np.ndarray, float]:
@@ -86,12 +87,12 @@ class Model:
                 break
         return pi, float(n @ np.log(p @ pi))
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def predict(self, text: str | None) -> tuple[str, float, float]:
         if not self.langs or not has_letter(text):
-            return "und", 0.0
-        shares = self.proportions(text)
+            return "und", 0.0, 0.0
+        shares, fit = self.proportions(text)
         k = int(shares.argmax())
-        return self.langs[k], float(min(1.0, shares[k]))
+        return self.langs[k], float(min(1.0, shares[k])), fit
 
 
 def train(docs: DataFrame, held_out: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE) -> Model:
@@ -123,19 +124,19 @@ def train(docs: DataFrame, held_out: Column, text_col: str = "text", lang_col: s
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (default: all) with lang_pred and score."""
+    """The columns ``keep`` (default: all) with lang_pred, score and fit."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     keep = docs.columns if keep is None else keep
-    pred, score, text = (free_name(docs, n) for n in ("lang_pred", "score", "_text"))
+    pred, score, fit, text = (free_name(docs, n) for n in ("lang_pred", "score", "fit", "_text"))
     rows = docs.select(*keep, F.col(text_col).alias(text))
-    schema = rows.drop(text).schema.add(pred, "string").add(score, "double")
+    schema = rows.drop(text).schema.add(pred, "string").add(score, "double").add(fit, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for batch in batches:
             got = [m.predict(t.as_py()) for t in batch.column(batch.num_columns - 1)]
-            new = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=[*batch.schema.names[:-1], pred, score])
+            new = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=[*batch.schema.names[:-1], pred, score, fit])
 
     return rows.mapInArrow(run, schema)
 

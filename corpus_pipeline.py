@@ -11,15 +11,22 @@ from cellquill.llm.common import WORD, table, written
 
 #: A document is rejected if no language makes up this share of it.
 LEAST_SHARE = 0.4
+#: A document is rejected if random trigrams explain it better than the learned languages do, by this log likelihood ratio and by
+#: so much of it for each byte: numbers, addresses and keys stay below that rate, an unlearned script or random letters don't.
+RANDOM_LLR, RANDOM_RATE = 30.0, 2.0
+#: From this share on, in texts of at least so many bytes, the predicted language replaces the given one.
+SURE_SHARE, SURE_BYTES = 0.9, 100
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from all labelled rows; drops what has no letters or no main language; fills in missing languages."""
+    """Learns from all labelled rows; drops what has no letters, is like no language or has no main one; corrects languages and fills in missing ones."""
     model = langid.train(docs, F.lit(False))
     found = langid.identify(docs, model)
-    pred, score = found.columns[-2:]
-    found = found.where((F.col(pred) != "und") & (F.col(score) >= LEAST_SHARE))
-    return found.withColumn("lang", F.coalesce("lang", pred)).select(*docs.columns)
+    pred, score, fit = found.columns[-3:]
+    size = F.octet_length("text")
+    found = found.where((F.col(pred) != "und") & (F.col(score) >= LEAST_SHARE) & (F.col(fit) >= -F.greatest(F.lit(RANDOM_LLR), RANDOM_RATE * size)))
+    lang = F.when((F.col(score) >= SURE_SHARE) & (size >= SURE_BYTES), F.col(pred)).otherwise(F.coalesce("lang", pred))
+    return found.withColumn("lang", lang).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

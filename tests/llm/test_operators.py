@@ -8,7 +8,6 @@ import math
 import os
 import random
 import re
-import struct
 import zlib
 
 import duckdb
@@ -116,37 +115,21 @@ def hash_of(b):
     return signed(xxhash.xxh64_intdigest(b, 42))
 
 
-def hash_of_array(hs):
-    seed = 42
-    for h in hs:
-        seed = xxhash.xxh64_intdigest(struct.pack("<q", h), seed)
-    return signed(seed)
-
-
-def brute_lines(rows, gram=25, window=50):
+def repeated_lines(rows, least=25):
+    """Deletes what is in a run of ``least`` words or more that occurs before, by looking at all runs."""
     docs = sorted({(linededup.LAST if i is None else i, hash_of(t.encode()), t) for i, t in rows if t is not None})
-    prints, units = [], {}
+    seen, gone = set(), collections.defaultdict(set)
     for a, b, text in docs:
-        u = [(k, hash_of(line.strip(" \t\n\v\f\r").encode()), len(line.encode().split())) for k, line in enumerate(text.split("\n"))]
-        u = units[a, b] = [x for x in u if x[2]]
-        n, c, h = len(u), [0], [x[1] for x in u]
-        for x in u:
-            c.append(c[-1] + x[2])
-        ends = [next((q for q in range(p, n + 1) if c[q] - c[p] >= gram), None) for p in range(n)]
-        g = [hash_of_array(h[p : ends[p]]) if ends[p] is not None else None for p in range(n)]
-        chosen = sorted({min((g[q], q) for q in range(p, n) if g[q] is not None and (q == p or c[ends[q]] <= c[p] + window))[1] for p in range(n) if g[p] is not None})
-        for k, p in enumerate(chosen):
-            size = ends[p] - p
-            ahead = max(size - 1, (chosen[k + 1] if k + 1 < len(chosen) else n) - p - 1)
-            prints.append((a, b, p, size, g[p], h[chosen[k - 1] if k else 0 : p][::-1], h[p + 1 : p + 1 + ahead]))
-    first, gone = {}, collections.defaultdict(set)
-    for f in sorted(prints):
-        first.setdefault(f[4], f)
-    agree = lambda x, y: next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
-    for f in prints:
-        o = first[f[4]]
-        if o[:3] != f[:3]:
-            gone[f[:2]].update(units[f[:2]][j][0] for j in range(f[2] - agree(f[5], o[5]), f[2] + max(f[3] - 1, agree(f[6], o[6])) + 1))
+        u = [(k, line.strip(" \t\n\v\f\r"), len(line.encode().split())) for k, line in enumerate(text.split("\n"))]
+        u = [x for x in u if x[2]]
+        for p in range(len(u)):
+            run, n = (), 0
+            for q in range(p, len(u)):
+                run, n = (*run, u[q][1]), n + u[q][2]
+                if n >= least and run in seen:
+                    gone[a, b].update(u[k][0] for k in range(p, q + 1))
+                elif n >= least:
+                    seen.add(run)
     return [(i, None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[linededup.LAST if i is None else i, hash_of(t.encode())])) for i, t in rows]
 
 
@@ -162,7 +145,7 @@ def test_line_dedup_like_brute_force(spark, texts):
         rows.append((1000 + i if i % 17 else None, "\n".join(lines)))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = [(r.doc_id, r.text) for r in linededup.dedup_lines(df).collect()]
-    assert sorted(map(str, got)) == sorted(map(str, brute_lines(rows)))
+    assert sorted(map(str, got)) == sorted(map(str, repeated_lines(rows)))
 
 
 def test_long_passages_leave_one_copy(spark):
@@ -172,24 +155,6 @@ def test_long_passages_leave_one_copy(spark):
     assert got[0] == rows[0][1] and all(t == f"own line {i} of a text\nlast line {i}" for i, t in enumerate(got) if i)
 
 
-def repeated_lines(rows, least=25):
-    """Deletes what is in a run of ``least`` words or more that occurs before, by looking at all runs."""
-    docs = sorted({(linededup.LAST if i is None else i, hash_of(t.encode()), t) for i, t in rows if t is not None})
-    seen, gone = set(), collections.defaultdict(set)
-    for a, b, text in docs:
-        u = [(k, line.strip(" \t\n\v\f\r"), len(line.encode().split())) for k, line in enumerate(text.split("\n"))]
-        u = [x for x in u if x[2]]
-        for p in range(len(u)):
-            run, n = (), 0
-            for q in range(p, len(u)):
-                run, n = (*run, u[q][1]), n + u[q][2]
-                if n >= least and run in seen:
-                    gone[a, b].update(u[k][0] for k in range(p, q + 1))
-                elif n >= least:
-                    seen.add(run)
-    return [(i, None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[linededup.LAST if i is None else i, hash_of(t.encode())])) for i, t in rows]
-
-
 def test_line_dedup_deletes_all_repeated_runs(spark):
     rnd = random.Random(11)
     word = lambda: "".join(rnd.choice("abcdefghijklm") for _ in range(7))
@@ -204,7 +169,7 @@ def test_line_dedup_deletes_all_repeated_runs(spark):
             n += 1
     rows += [(None, "\n".join([line(10)] * 9)), (n, "\n".join([line(4), " "] * 15))]
     got = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = linededup.dedup_lines(got).collect()
+    assert sorted(linededup.dedup_lines(got, gram_words=5).collect(), key=str) == sorted(got := linededup.dedup_lines(got).collect(), key=str)
     expected = repeated_lines(rows)
     assert sorted(str((r.doc_id, r.text)) for r in got) == sorted(map(str, expected))
     lines = {i: len(t.split("\n")) - len(x.split("\n")) if x else len(t.split("\n")) for (i, t), (_, x) in zip(rows, expected)}

@@ -6,7 +6,7 @@ import corpus_pipeline
 from cellquill.llm import langid, linededup, mixing, packing, simhash
 from cellquill.llm.common import table, written
 
-from .test_operators import brute_lines
+from .test_operators import repeated_lines
 
 
 def test_stages_decide_like_plain_versions(spark, sf_dir):
@@ -18,7 +18,7 @@ def test_stages_decide_like_plain_versions(spark, sf_dir):
     given, kept = rows["language_id"]
     assert {r.doc_id for r in given if langid.has_letter(r.text)} - {r.doc_id for r in kept} == set() and len(kept) > 0.95 * len(given)
     given, kept = rows["line_dedup"]
-    plain = dict(brute_lines([(r.doc_id, r.text) for r in given], linededup.GRAM_WORDS, linededup.WINDOW_WORDS))
+    plain = dict(repeated_lines([(r.doc_id, r.text) for r in given], linededup.WINDOW_WORDS))
     assert {r.doc_id: r.text for r in kept} == {r.doc_id: plain[r.doc_id] for r in given if plain[r.doc_id].split() or plain[r.doc_id] == r.text}
     given, kept = rows["near_dedup"]
     prints = [(simhash.fingerprint(r.text), r.doc_id) for r in given]
@@ -45,6 +45,16 @@ def test_stages_decide_like_plain_versions(spark, sf_dir):
     assert ids == counted
 
 
+def test_language_stage_rejects_what_is_like_no_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    text = docs.where("lang = 'de' AND length(text) > 500").first().text
+    new = [(-1, "日本語の文章は単語の間に空白を置かない書き方をする" * 4, None), (-2, "xqj vkz wqx zzj kqv jxw " * 20, "en"), (-3, text, "fr"), (-4, text, None), (-5, "Zx 4733-2211", "fr")]
+    new = spark.createDataFrame([(i, t, lang, "s", len(t)) for i, t, lang in new], docs.schema)
+    kept = {r.doc_id: r for r in corpus_pipeline.language_id(spark, docs.unionByName(new), sf_dir).collect()}
+    assert not {-1, -2} & set(kept) and kept[-3].lang == kept[-4].lang == "de" and kept[-5].lang == "fr"
+    assert {r.doc_id for r in docs.collect() if langid.has_letter(r.text)} <= set(kept)
+
+
 def packing_path():
     import public_tokenizers
 
