@@ -5,7 +5,7 @@ documents of a language, whole texts). A document's trigrams then have a likelih
 expectation-maximisation finds the language proportions of the document. The set of languages starts from the best single
 one and takes in another only while the penalised log likelihood grows, so that stray words don't make a text bilingual.
 The prediction is the language of the largest proportion; its score is that proportion. Its fit is the log likelihood of the
-text under the chosen mixture, less that under equally likely trigrams: below 0 the text is like none of the languages.
+text's trigrams of letters under the chosen mixture, less that of random ones: below 0 the text is like none of the languages.
 
 Memory: the model is BUCKETS x languages floats, broadcast; languages are few by nature and no text is collected.
 
@@ -38,6 +38,13 @@ def trigrams(text: str) -> np.ndarray:
     return ((raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:]) * np.uint32(2654435761)) >> np.uint32(16)
 
 
+def lettered(text: str) -> np.ndarray:
+    """Whether each of the text's trigrams is of letters and spaces only, so that numbers and marks are no evidence against a language."""
+    raw = np.frombuffer(b" " + b" ".join(text.lower().encode("utf-8", "replace").split()) + b" ", np.uint8)
+    ok = (raw == 32) | (raw >= 128) | ((raw >= 97) & (raw <= 122))
+    return ok[:-2] & ok[1:-1] & ok[2:]
+
+
 def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
@@ -50,8 +57,9 @@ class Model:
 
     def proportions(self, text: str) -> tuple[np.ndarray, float]:
         """Shares of the languages in the text, 0 for those outside the chosen set, and the fit of that mixture."""
-        grams, n = np.unique(trigrams(text), return_counts=True)
-        logp = self.logp[grams].astype(np.float64)
+        grams, n = np.unique(trigrams(text).astype(np.int64) * 2 + lettered(text), return_counts=True)
+        lettered_n = n * (grams & 1)
+        logp = self.logp[grams >> 1].astype(np.float64)
         n = n.astype(np.float64)
         shares = np.zeros(len(self.langs))
         single = n @ logp
@@ -73,7 +81,7 @@ class Model:
             best, chosen = ll, [*chosen, k]
             shares[:] = 0
             shares[chosen] = pi
-        return shares, float(best + total * np.log(BUCKETS))
+        return shares, float(lettered_n @ (np.log(p @ shares) + logp.max(axis=1) + np.log(BUCKETS)))
 
     @staticmethod
     def expectation_maximisation(p: np.ndarray, n: np.ndarray, total: float) -> tuple[np.ndarray, float]:

@@ -12,8 +12,8 @@ from cellquill.llm.common import WORD, table, written
 #: A document is rejected if no language makes up this share of it.
 LEAST_SHARE = 0.4
 #: A document is rejected if random trigrams explain it better than the learned languages do, by this log likelihood ratio and by
-#: so much of it for each byte: numbers, addresses and keys stay below that rate, an unlearned script or random letters don't.
-RANDOM_LLR, RANDOM_RATE = 30.0, 2.0
+#: so much of it for each byte: names and keys stay below that rate, an unlearned script or random letters don't.
+RANDOM_LLR, RANDOM_RATE = 30.0, 1.0
 #: From this share on, in texts of at least so many bytes, the predicted language replaces the given one.
 SURE_SHARE, SURE_BYTES = 0.9, 100
 
