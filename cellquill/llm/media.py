@@ -1,7 +1,9 @@
 """Media columns: documents as progressive JPEGs, read back to coefficients, payloads and RGB features.
 
-``with_media`` stores each text's UTF-8 bytes, padded with bytes 0 to a positive multiple of 64, in a binary column;
-``read_media`` reads that column. Equal texts give equal media and features. A null text is stored as an empty one; null ids
+``with_media`` stores each text's UTF-8 bytes, padded with bytes 0 to a positive multiple of 64, in a binary column; ``stored``
+writes that column to the shared folder, and ``read_media`` reads it from there. ``tensors`` gives the full-resolution RGB
+tensors in bands of a bounded size, to be written as a table: 3 to 4 times the bytes of the texts, so ``read_media``, which
+needs the colour means only, makes them band by band and doesn't write them. Equal texts give equal media and features. A null text is stored as an empty one; null ids
 are carried; repeated rows are stored once each; an empty table gives an empty result. A text of any length is one image,
 whose pixels are made in strips, so memory is a few times the text's size.
 """
@@ -18,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import jpeg
+from .common import small_batches, written
 
 STRIP = 2048  # units whose pixels are made at once
 ROWS = 64  # media rows in a batch
@@ -28,13 +31,18 @@ def padded(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw + bytes(64 if not raw else -len(raw) % 64)
 
 
+def bands(image: jpeg.Image) -> Iterator[tuple[int, np.ndarray]]:
+    """The RGB tensor in bands of at most STRIP units, each with its first pixel column."""
+    step = max(1, STRIP // image.rows)
+    for first in range(0, image.cols, step):
+        yield 8 * image.h * first, jpeg.rgb(image, first, min(first + step, image.cols))
+
+
 def features(image: jpeg.Image) -> str:
     """Height, width, and the mean of each colour in 8 parts of the width, in 1/100."""
     sums, pixels = np.zeros((8, 3), np.int64), np.zeros(8, np.int64)
-    step = max(1, STRIP // image.rows)
-    for first in range(0, image.cols, step):
-        tensor = jpeg.rgb(image, first, min(first + step, image.cols))
-        part = np.minimum(7, (first * 16 + np.arange(tensor.shape[1])) * 8 // image.width)
+    for first, tensor in bands(image):
+        part = np.minimum(7, (first + np.arange(tensor.shape[1])) * 8 // image.width)
         columns = tensor.sum(axis=0, dtype=np.int64)
         np.add.at(sums, part, columns)
         pixels += np.bincount(part, minlength=8) * len(tensor)
@@ -53,9 +61,15 @@ def with_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 media = pa.array([jpeg.encode(raw) for _, raw in got], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for n, _ in got], pa.int64()), media], names=["doc_id", "n_bytes", "media"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``with_media`` as a written table."""
+    return written(with_media(docs, id_col, text_col), "media", compression="zstd")
+
+
 def read_media(stored: DataFrame) -> DataFrame:
     """Digests of the payload and of the stored form, and features of the RGB tensor, for each row of ``with_media``."""
 
@@ -75,19 +89,23 @@ def read_media(stored: DataFrame) -> DataFrame:
 
 
 def tensors(stored: DataFrame) -> DataFrame:
-    """(doc_id, height, width, rgb): the full-resolution tensor of each row of ``with_media``, bytes in row, column, colour order."""
+    """(doc_id, height, width, first, rgb): the full-resolution tensor of each row of ``with_media`` in bands of pixel columns.
+
+    A band starts at pixel column ``first`` and has at most STRIP units; its bytes are in row, column, colour order.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, media in zip(batch.column(0), batch.column(1)):
                 image = jpeg.decode(media.as_py())
-                tensor = jpeg.rgb(image)
-                yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()], pa.int64()), pa.array([image.height], pa.int32()), pa.array([image.width], pa.int32()), pa.array([tensor.tobytes()], pa.binary())], names=["doc_id", "height", "width", "rgb"])
+                for first, band in bands(image):
+                    cells = ([doc.as_py()], pa.int64()), ([image.height], pa.int32()), ([image.width], pa.int32()), ([first], pa.int32()), ([band.tobytes()], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in cells], names=["doc_id", "height", "width", "first", "rgb"])
 
-    return stored.select("doc_id", "media").mapInArrow(run, "doc_id long, height int, width int, rgb binary")
+    return stored.select("doc_id", "media").mapInArrow(run, "doc_id long, height int, width int, first int, rgb binary")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
-    return read_media(with_media(table(spark, sf_dir, "documents")))
+    return read_media(stored(table(spark, sf_dir, "documents")))

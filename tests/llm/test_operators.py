@@ -410,8 +410,17 @@ def test_media_rows(spark, sf_dir, texts):
     for r in media.op9(spark, sf_dir).collect():
         n, raw = media.padded(texts[r.doc_id])
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (n, len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]))
-    one = media.tensors(media.with_media(spark.createDataFrame([(1, "abc")], "doc_id long, text string"))).first()
-    assert len(one.rgb) == one.height * one.width * 3
+
+
+def test_tensors_come_in_bands(spark):
+    data = bytes(np.random.default_rng(5).integers(32, 127, 64 * 6 * (2 * media.STRIP + 9), dtype=np.uint8))
+    made = media.stored(spark.createDataFrame([(1, "abc"), (2, data.decode())], "doc_id long, text string"))
+    got = media.tensors(made).orderBy("doc_id", "first").collect()
+    assert [r.doc_id for r in got] == [1, 2, 2, 2]  # 4105 units in two rows
+    for doc, raw in ((1, media.padded("abc")[1]), (2, data)):
+        bands = [np.frombuffer(r.rgb, np.uint8).reshape(r.height, -1, 3) for r in got if r.doc_id == doc]
+        assert [r.first for r in got if r.doc_id == doc] == [0, *np.cumsum([b.shape[1] for b in bands])[:-1]]
+        assert (np.concatenate(bands, axis=1) == jpeg.rgb(jpeg.decode(jpeg.encode(raw)))).all()
 
 
 # top-k
