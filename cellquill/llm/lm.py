@@ -38,6 +38,7 @@ LONG = 48  # letters from which a word is scored by itself
 SLOTS = 1 << 19
 ROUNDS = 6
 AT_ONCE = 5000  # words whose lattices are made at once
+NONE, PREFIX = -1, -2  # no piece; only the start of one
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -161,13 +162,15 @@ class Lattice:
 
     def __init__(self, vocab: Vocabulary, logp: np.ndarray):
         self.vocab = vocab
-        keys = np.array([_hash(p) for p in vocab.pieces], np.uint64)
-        ids = np.fromiter(vocab.pieces.values(), np.int64, len(keys))
-        self.bits, self.ids = np.zeros(SLOTS, np.uint64), np.full(SLOTS, -1)
+        # pieces by the hash of their letters, and what is only the start of a piece
+        known = {_hash(piece[:n]): PREFIX for piece in vocab.pieces for n in range(1, len(piece))}
+        known |= {_hash(piece): i for piece, i in vocab.pieces.items()}
+        keys, ids = np.fromiter(known, np.uint64, len(known)), np.fromiter(known.values(), np.int64, len(known))
+        self.bits, self.ids = np.zeros(SLOTS, np.uint64), np.full(SLOTS, NONE)
         slots = _slot(keys)
         first = np.unique(slots, return_index=True)[1]
         self.bits[slots[first]], self.ids[slots[first]] = keys[first], ids[first]
-        # pieces whose slot is taken are found in a sorted table
+        # entries whose slot is taken are found in a sorted table
         rest = np.setdiff1d(np.arange(len(keys)), first)
         rest = rest[np.argsort(keys[rest])]
         self.rest_keys, self.rest_ids = keys[rest], ids[rest]
@@ -177,8 +180,9 @@ class Lattice:
         self.logp = np.append(logp, -np.inf)  # the last is that of no piece, -1
 
     def lookup(self, keys: np.ndarray) -> np.ndarray:
+        """The piece of each hash; PREFIX for what only starts one, NONE for all else."""
         slot = _slot(keys)
-        out = np.where(self.bits[slot] == keys, self.ids[slot], -1)
+        out = np.where(self.bits[slot] == keys, self.ids[slot], NONE)
         if len(self.rest_keys):
             at = np.minimum(np.searchsorted(self.rest_keys, keys), len(self.rest_keys) - 1)
             out = np.where(self.rest_keys[at] == keys, self.rest_ids[at], out)
@@ -200,68 +204,27 @@ class Lattice:
                 alpha[j] = top + math.log(sum(math.exp(t - top) for t in terms))
         return float(alpha[-1])
 
-    def groups(self, batch: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
-        """Positions of the words of equal length with their letters, None for those to score one by one."""
-        lengths = np.fromiter(map(len, batch), np.int64, len(batch))
-        for n in np.unique(lengths):
-            at = np.flatnonzero(lengths == n)
-            if n > LONG:
-                yield at, None
-            else:
-                yield at, np.frombuffer("".join(MARK + batch[i] for i in at).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(at), n + 1)
-
     def many(self, batch: list[str]) -> np.ndarray:
         out = np.empty(len(batch))
-        for at, codes in self.groups(batch):
-            out[at] = [self.one(batch[i]) for i in at] if codes is None else self.forward(self.arcs(codes), codes.shape[1], len(at))[-1]
-        return out
-
-    def arcs(self, codes: np.ndarray) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
-        """Piece and weight from position i to j of each word; -1 and a weight where a letter is spelled in bytes."""
-        rows, n = codes.shape
-        out = {}
-        for i in range(n):
-            key = np.zeros(rows, np.uint64)
-            for j in range(i + 1, min(n, i + self.vocab.longest) + 1):
-                key = _mix(key, codes[:, j - 1].astype(np.uint64))
-                ids = self.lookup(key)
-                none = ids < 0
-                if none.all() and j > i + 1:
-                    continue
-                weight = self.logp[ids]
-                if j == i + 1 and none.any():
-                    letters, inverse = np.unique(codes[none, i], return_inverse=True)
-                    weight[none] = np.array([self.logp[self.spelled(chr(c))].sum() for c in letters])[inverse]
-                out[i, j] = ids, weight
+        short = [i for i, w in enumerate(batch) if len(w) <= LONG]
+        if short:
+            arcs = Arcs(self, [batch[i] for i in short])
+            out[short] = arcs.forward()[arcs.last]
+        for i, w in enumerate(batch):
+            if len(w) > LONG:
+                out[i] = self.one(w)
         return out
 
-    def forward(self, arcs: dict, n: int, rows: int) -> np.ndarray:
-        """Log probability of each word's first j letters, a row for each j."""
-        alpha = np.full((n + 1, rows), -np.inf)
-        alpha[0] = 0
-        for j in range(1, n + 1):
-            alpha[j] = _logsum([alpha[i] + arcs[i, j][1] for i in range(max(0, j - self.vocab.longest), j) if (i, j) in arcs])
-        return alpha
-
     def expected(self, batch: list[str]) -> np.ndarray:
         """Expected number of times each piece is used in the words, over their segmentations."""
         sums = np.zeros(len(self.logp))
-        for at, codes in self.groups(batch):
-            if codes is None:
-                for i in at:
-                    self.add_expected(batch[i], sums)
-                continue
-            rows, n = codes.shape
-            arcs = self.arcs(codes)
-            alpha, beta = self.forward(arcs, n, rows), np.full((n + 1, rows), -np.inf)
-            beta[n] = 0
-            for i in range(n - 1, -1, -1):
-                beta[i] = _logsum([arcs[i, j][1] + beta[j] for j in range(i + 1, min(n, i + self.vocab.longest) + 1) if (i, j) in arcs])
-            for (i, j), (ids, weight) in arcs.items():
-                sums += np.bincount(np.where(ids < 0, len(sums) - 1, ids), np.exp(alpha[i] + weight + beta[j] - alpha[n]), len(sums))
+        if short := [w for w in batch if len(w) <= LONG]:
+            sums += Arcs(self, short).uses()
+        for w in batch:
+            if len(w) > LONG:
+                self.add_expected(w, sums)
         return sums[:-1]
 
-
     def add_expected(self, word: str, sums: np.ndarray) -> None:
         """Adds a long word's expected pieces to ``sums``; letters spelled in bytes add to its last, as in ``expected``."""
         text, longest, pieces = MARK + word, self.vocab.longest, self.vocab.pieces
@@ -287,6 +250,69 @@ class Lattice:
                 sums[k] += math.exp(ahead[i] + weight + beta[j] - ahead[n])
 
 
+class Arcs:
+    """The arcs of a batch of words: from node ``tail`` to node ``head``, with piece (NONE for a letter spelled in bytes) and weight.
+
+    Each word has a node before each of its letters, the mark first, and one at its end, ``last``.
+    """
+
+    def __init__(self, lattice: Lattice, batch: list[str]):
+        sizes = np.fromiter(map(len, batch), np.int64, len(batch)) + 1
+        codes = np.frombuffer("".join(MARK + w for w in batch).encode("utf-32-le", "surrogatepass"), np.uint32)
+        word = np.repeat(np.arange(len(batch)), sizes)
+        letter = np.arange(len(codes))
+        offset = letter - (np.cumsum(sizes) - sizes)[word]
+        left, key, at = sizes[word] - offset, np.zeros(len(codes), np.uint64), letter
+        found = []
+        for n in range(1, lattice.vocab.longest + 1):  # all starts grow by a letter at once, till no piece goes on
+            inside = left[at] >= n
+            at, key = at[inside], key[inside]
+            key = _mix(key, codes[at + n - 1].astype(np.uint64))
+            ids = lattice.lookup(key)
+            here = (ids >= 0) | (n == 1)
+            found.append((at[here], np.full(here.sum(), n), np.maximum(ids[here], NONE)))
+            on = ids != NONE
+            at, key = at[on], key[on]
+        at, n, self.ids = map(np.concatenate, zip(*found))
+        self.weights = lattice.logp[self.ids]
+        byte = self.ids == NONE
+        if byte.any():
+            letters, inverse = np.unique(codes[at[byte]], return_inverse=True)
+            self.weights[byte] = np.array([lattice.logp[lattice.spelled(chr(c))].sum() for c in letters])[inverse]
+        self.tail = at + word[at]
+        self.head = self.tail + n
+        self.last = np.cumsum(sizes + 1) - 1
+        self.nodes, self.pieces = len(codes) + len(batch), len(lattice.logp)
+        self.word, self.tail_offset, self.head_offset = word[at], offset[at], offset[at] + n
+
+    def sums(self, start: np.ndarray, offset: np.ndarray, to: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Log sums along the arcs ``of`` -> ``to``, in order of ``offset``, over nodes that begin as ``start``."""
+        order = np.argsort(offset * self.nodes + to)
+        offset, to, of, weights = offset[order], to[order], of[order], self.weights[order]
+        groups = np.flatnonzero(np.r_[True, offset[1:] != offset[:-1], True])
+        for a, b in zip(groups[:-1], groups[1:]):
+            nodes = to[a:b]
+            cuts = np.flatnonzero(np.r_[True, nodes[1:] != nodes[:-1]])
+            terms = start[of[a:b]] + weights[a:b]
+            top = np.maximum.reduceat(terms, cuts)
+            total = np.add.reduceat(np.exp(terms - np.repeat(top, np.diff(np.r_[cuts, b - a]))), cuts)
+            start[nodes[cuts]] = top + np.log(total)
+        return start
+
+    def forward(self) -> np.ndarray:
+        """Log probability of all ways from a word's start to each node."""
+        return self.sums(np.zeros(self.nodes), self.head_offset, self.head, self.tail)
+
+    def backward(self) -> np.ndarray:
+        """Log probability of all ways from each node to its word's end."""
+        return self.sums(np.zeros(self.nodes), -self.tail_offset, self.tail, self.head)
+
+    def uses(self) -> np.ndarray:
+        alpha, beta = self.forward(), self.backward()
+        share = np.exp(alpha[self.tail] + self.weights + beta[self.head] - alpha[self.last[self.word]])
+        return np.bincount(np.where(self.ids == NONE, self.pieces - 1, self.ids), share, self.pieces)
+
+
 _lattices: dict[str, Lattice] = {}
 
 
@@ -303,12 +329,6 @@ def _logsum1(terms: list[float]) -> float:
     return top + math.log(sum(math.exp(t - top) for t in terms)) if top > -math.inf else top
 
 
-def _logsum(terms: list[np.ndarray]) -> np.ndarray:
-    terms = np.stack(terms)
-    top = terms.max(axis=0)
-    return top + np.log(np.exp(terms - top).sum(axis=0))
-
-
 def _slot(keys: np.ndarray) -> np.ndarray:
     return (keys >> np.uint64(45)).astype(np.int64)
 
