@@ -36,9 +36,28 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
-    """The rows as a Parquet table in the shared folder, read again: cuts lineage and outlives executors."""
+#: Least rows of narrow columns, and least bytes of texts, for which a step that writes them gets a task and a file of its own.
+PART_ROWS, PART_BYTES = 500_000, 32 << 20
+
+
+def parts(spark: SparkSession, rows: int = 0, size: int = 0) -> int:
+    """How many files so many rows or bytes are worth: two for each core at least."""
+    return min(1_000_000, max(2 * spark.sparkContext.defaultParallelism, -(-rows // PART_ROWS), -(-size // PART_BYTES)))
+
+
+def table_bytes(df: DataFrame) -> int:
+    """What the optimiser takes the rows to be in bytes; for a scan, the size of its files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def written(df: DataFrame, name: str, rows: int = 0, size: int = 0, compression: str | None = None) -> DataFrame:
+    """The rows as a Parquet table in the shared folder, read again: cuts lineage and outlives executors.
+
+    A bound on its ``rows`` or on the ``size`` of what it is made from keeps a small table from being cut into many tiny files.
+    """
     path = fresh(df.sparkSession, name)
+    if rows or size:
+        df = df.coalesce(parts(df.sparkSession, rows, size))
     df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

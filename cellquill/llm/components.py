@@ -8,21 +8,22 @@ from pyspark.sql import functions as F
 from .common import written
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rows: int = 0) -> DataFrame:
     """``edges`` (a, b: long, never null) to (node, root): every node that has an edge with the smallest node it reaches.
 
     Each step points nodes at the smallest neighbour they see and is written to the shared folder; it stops when a step
     changes nothing, after a number of steps that grows with the logarithm of the longest path. No edge list is collected.
+    ``rows`` is about how many edges there are, if that is known.
     """
-    now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
-    before = None
+    now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges", rows)
+    mark = before = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         kept = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = written(kept.unionByName(least.withColumnRenamed("m", "v")).distinct(), "edges")
+        now = written(kept.unionByName(least.withColumnRenamed("m", "v")).distinct(), "edges", mark[0] if mark else rows)
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

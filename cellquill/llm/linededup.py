@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, free_name, written
+from .common import WORD, free_name, table_bytes, written
 
 GRAM_WORDS, WINDOW_WORDS = 12, 25
 LAST = 2**63 - 1
@@ -63,14 +63,15 @@ def fingerprints(units: DataFrame, gram_words: int, window_words: int) -> DataFr
 
 def deletions(prints: DataFrame) -> DataFrame:
     """(a, b, gone): for each document the positions that repeat an earlier run, with those of lines without a word between them."""
-    shared = written(prints.groupBy("g").count().where("count > 1").select("g"), "shared")
+    n = prints.count()
+    shared = written(prints.groupBy("g").count().where("count > 1").select("g"), "shared", n)
     # keyed by a hash of both, so that what one fingerprint has isn't held together
     runs = prints.join(shared, "g").select("a", "b", "g", F.inline("extents")).withColumn("g", F.xxhash64("g", "r"))
-    runs = written(runs, "runs")
+    runs = written(runs, "runs", 2 * n)
     first = runs.groupBy("g", "r").agg(F.min(F.struct("a", "b", "pos")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("g", "r", "f")
-    later = runs.join(written(first, "first"), ["g", "r"]).where(F.struct("a", "b", "pos") != F.col("f"))
+    later = runs.join(written(first, "first", n), ["g", "r"]).where(F.struct("a", "b", "pos") != F.col("f"))
     matches = later.groupBy("a", "b").agg(F.collect_set(F.struct("pos", "last")).alias("runs"))
-    return matches.select("a", "b", F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["pos"], r["last"])))).alias("gone"))
+    return written(matches.select("a", "b", F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["pos"], r["last"])))).alias("gone")), "gone", n)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram_words: int = GRAM_WORDS, window_words: int = WINDOW_WORDS) -> DataFrame:
@@ -89,8 +90,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     units = keyed.select(F.col(a).alias("a"), F.col(b).alias("b"), F.posexplode(lines).alias("pos", "line"))
     units = units.select("a", "b", "pos", F.xxhash64(line).alias("h"), F.xxhash64(F.lit(1), line).alias("k"), F.regexp_count("line", F.lit(WORD)).cast("long").alias("w")).where("w > 0")
     units = units.repartition("a", "b").dropDuplicates(["a", "b", "pos"])
-    prints = written(fingerprints(units, gram_words, window_words), "prints")
-    found = written(deletions(prints).select(F.col("a").alias(ga), F.col("b").alias(gb), F.col("gone").alias(gone)), "gone")
+    prints = written(fingerprints(units, gram_words, window_words), "prints", size=table_bytes(docs))
+    found = deletions(prints).select(F.col("a").alias(ga), F.col("b").alias(gb), F.col("gone").alias(gone))
     joined = keyed.join(found, (F.col(a) == F.col(ga)) & (F.col(b) == F.col(gb)), "left")
     joined = joined.withColumn(gone, F.filter(gone, lambda i: F.get(lines, i).rlike(WORD)))
     every = F.sequence(F.lit(0), F.size(lines) - 1)

@@ -22,11 +22,11 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, small, written
+from .common import small, written
 from .components import components
 
 SHINGLE, SEED, THRESHOLD = 4, 42, 4
@@ -197,32 +197,34 @@ def links(distinct: DataFrame) -> DataFrame:
     return placed.repartition("tile").mapInArrow(compare, "a long, b long")
 
 
-def classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, fp) of each row, and (fp, least, root) of each distinct fingerprint: its smallest id and its component."""
-    fps = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = written(components(links(distinct.select("fp"))), "roots")
-    return fps, distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+def classes(fps: DataFrame, least: Column) -> DataFrame:
+    """``fps`` (fp, a row for each document) to (fp, least, root): each distinct fingerprint with an aggregate of its rows and its component."""
+    distinct = written(fps.groupBy("fp").agg(least.alias("least")), "distinct", fps.count())
+    n = distinct.count()
+    roots = written(components(links(distinct.select("fp")), n), "roots", n)
+    return distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of ``docs``."""
-    fps, placed = classes(docs, id_col, text_col)
+    fps = written(fingerprints(docs, id_col, text_col), "fingerprints")
+    placed = classes(fps, F.min("doc_id"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     of = placed.select("fp", "root").join(least, "root").select("fp", "component_id")
     return fps.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component: that of the smallest id (null last; of several such rows any one)."""
-    _, placed = classes(docs, id_col, text_col)
-    kept = placed.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "fp")).alias("k")).select(F.col("k.least").alias("id"), F.col("k.fp").alias("kept_fp"))
-    kept = kept.select("id", "kept_fp", F.xxhash64("id", "kept_fp").alias("kept"))
-    fp = free_name(docs, "fp")
+    """One row of each component: that of the smallest id (null last; of several such rows that of one text, and any one of these)."""
+    keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
+    fps = written(with_fingerprint(keyed, "text", "fp").drop("text"), "fingerprints")
+    placed = classes(fps, F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")))
+    kept = placed.groupBy("root").agg(F.min("least").alias("k")).select(F.col("k.id").alias("kept_id"), F.col("k.h").alias("kept_h"))
+    kept = kept.withColumn("kept", F.xxhash64("kept_id", "kept_h"))
     # the row travels as one value; one plain key, so that rows without an id join too
-    rows = with_fingerprint(docs, text_col, fp).select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("row_id"), F.col(fp).alias("row_fp"))
-    rows = rows.withColumn("key", F.xxhash64("row_id", "row_fp"))
-    joined = rows.join(kept, (F.col("key") == F.col("kept")) & (F.col("row_fp") == F.col("kept_fp")) & F.col("row_id").eqNullSafe(F.col("id")))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("h"))
+    rows = rows.withColumn("key", F.xxhash64("id", "h"))
+    joined = rows.join(kept, (F.col("key") == F.col("kept")) & (F.col("h") == F.col("kept_h")) & F.col("id").eqNullSafe(F.col("kept_id")))
     order = Window.partitionBy("key").orderBy(F.lit(0))
     return joined.withColumn("n", F.row_number().over(order)).where("n = 1").select("row.*")
 
