@@ -91,7 +91,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     units = units.select("a", "b", "pos", F.xxhash64(line).alias("h"), F.xxhash64(F.lit(1), line).alias("k"), F.regexp_count("line", F.lit(WORD)).cast("long").alias("w")).where("w > 0")
     units = units.repartition("a", "b").dropDuplicates(["a", "b", "pos"])
     prints = written(fingerprints(units, gram_words, window_words), "prints", size=table_bytes(docs))
-    found = deletions(prints).select(F.col("a").alias(ga), F.col("b").alias(gb), F.col("gone").alias(gone))
+    # the same join at every size: there are as many deletions as documents with copies
+    found = deletions(prints).select(F.col("a").alias(ga), F.col("b").alias(gb), F.col("gone").alias(gone)).hint("merge")
     joined = keyed.join(found, (F.col(a) == F.col(ga)) & (F.col(b) == F.col(gb)), "left")
     joined = joined.withColumn(gone, F.filter(gone, lambda i: F.get(lines, i).rlike(WORD)))
     every = F.sequence(F.lit(0), F.size(lines) - 1)
