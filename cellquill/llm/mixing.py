@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, free_name
+from .common import WORD, free_name, table_bytes, written
 
 BUCKET_HEX = 2  # 256 buckets
 
@@ -61,7 +61,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = docs.select(row, F.col(id_col).alias("id"), word_count(F.col(text_col)).alias("size"), source)
     rows = rows.withColumn("bin", F.floor(F.sqrt(F.col("size").cast("double"))))
     rows = rows.withColumn("bucket", F.substring(F.md5(F.coalesce("id", "size").cast("string").cast("binary")), 1, BUCKET_HEX))
-    counts = rows.groupBy("src", "bin", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("w"))
+    # written, since three steps need these few sums: else each would read and count all texts
+    counts = written(rows.groupBy("src", "bin", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("w")), "buckets", size=table_bytes(docs))
     before, zero = (Window.unboundedPreceding, -1), F.lit(0)
     bins = counts.groupBy("src", "bin").agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
     bins = bins.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("src").orderBy("bin").rowsBetween(*before)), zero))
