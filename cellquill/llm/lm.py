@@ -7,8 +7,8 @@ the mass D * V / N that absolute discounting leaves over (V words among N traini
 seen c times has one arc for the whole word, of weight (c - D) / N. Words start at the vocabulary's space mark, so a text's
 segmentations are those of its words combined, and its log probability is the sum of theirs and of the end's.
 
-Every distinct word is scored once, in a distributed table of words. Documents then look up the ``HOT`` most frequent words in
-a broadcast dictionary of that bounded size; their other words go through a join with the whole table, so nothing is left out.
+Every distinct word is scored once, in a distributed table of words. Documents then look up the most frequent words, ``HOT`` at
+most, in a broadcast dictionary of that bounded size; their other words go through a join with the whole table, so nothing is left out.
 
 Nulls: a null text is an empty one: its end is its one token. A null id falls in no fold, is learned from and scored. Repeated
 rows count, and are scored, once each. An empty table gives an empty result; if all rows are held out the pieces are equally
@@ -345,6 +345,22 @@ def _hash(piece: str) -> int:
     return int(key[0])
 
 
+def frequent(table: DataFrame, most: int) -> list:
+    """The most frequent words' rows: those down to a level of the count, in steps of a 16th of its logarithm, that at most ``most`` words reach.
+
+    Levels are counted first, so no task sends a list of its own to the driver.
+    """
+    level = F.floor(16 * F.log2(F.col("c") + 1))
+    sizes = table.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()  # some hundred rows
+    least, n = math.inf, 0
+    for row in sizes:
+        n += row["count"]
+        if n > most:
+            break
+        least = row["level"]
+    return table.where(level >= F.lit(least)).collect() if n and least < math.inf else []
+
+
 def score(docs: DataFrame, vocabulary_path: str, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of each row; ``training`` marks the rows to learn from."""
     spark = docs.sparkSession
@@ -370,7 +386,7 @@ def score(docs: DataFrame, vocabulary_path: str, training: Column, id_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.log10((c + SMOOTH) / low)), pa.array(both)], names=["word", "c", "base", "score"])
 
     table = written(counted.mapInArrow(weigh, "word string, c long, base double, score double"), "scored")
-    hot = table.orderBy(F.desc("c"), "word").limit(HOT).collect()  # HOT rows at most
+    hot = frequent(table, HOT)
     held = spark.sparkContext.broadcast({r["word"].encode(): (r["c"] > 0, r["base"], r["score"]) for r in hot})
     end_base, end_known = base_of(ends), int(ends > 0)
     kinds = "row long, doc_id long, word string, times long, n_tokens long, n_known long, base double, score double"

@@ -208,6 +208,13 @@ def test_long_words_are_fitted(monkeypatch):
     assert np.allclose(long, lattice.expected(words))
 
 
+def test_frequent_words_are_bounded(spark):
+    table = spark.createDataFrame([(f"w{i}", 1000 // (i + 1)) for i in range(300)] + [("unseen", 0)], "word string, c long").repartition(7)
+    got = sorted(r.c for r in lm.frequent(table, 20))
+    assert 10 < len(got) <= 20 and got == sorted(1000 // (i + 1) for i in range(300))[-len(got) :]
+    assert lm.frequent(table.where("c = 1"), 20) == [] and len(lm.frequent(table, 1000)) == 301 and lm.frequent(table.where("false"), 5) == []
+
+
 def test_every_round_uses_all_words(spark):
     rows = [(f"w{i}", 1) for i in range(31_000)] + [("unlearned", 0)]
     counted = spark.createDataFrame(rows, "word string, c long").repartition(3)
