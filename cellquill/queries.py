@@ -133,6 +133,13 @@ def _roundtrip(write, read):
     return run
 
 
+def _text_roundtrip(s, d) -> DataFrame:
+    """Records written as text files and read back."""
+    path = text.fresh(s, "text")
+    text.write_text(A.bus(s, d), path, BCLEN, UMILEN, flags=True)
+    return flat(text.read_text(s, path, numbered=False))
+
+
 def _classes_roundtrip(s, d) -> DataFrame:
     """Classes renumbered without gaps, compressed and read back."""
     path, sets = text.fresh(s, "classes"), A.ec_tx(s, d)
@@ -179,7 +186,7 @@ QUERIES = {
     "allowlist_auto": lambda s, d: R.allowlist(A.bus(s, d), None, BCLEN),
     "text": lambda s, d: text.to_lines(A.bus(s, d), BCLEN, UMILEN, flags=True, pad=True),
     "text_showall": lambda s, d: text.to_lines(_tall(s, d), 32, UMILEN, flags=True, pad=True),
-    "fromtext": lambda s, d: flat(text.from_lines(text.to_lines(A.bus(s, d), BCLEN, UMILEN, flags=True))),
+    "fromtext": _text_roundtrip,
     "hamming": lambda s, d: A.bus(s, d).groupBy("barcode", "umi").agg(F.count(F.lit(1)).alias("n")).select("barcode", "umi", dna.hamming(F.col("barcode"), F.col("umi")).cast("long").alias("distance"), "n"),
     "extract_include": lambda s, d: R.extract(_reads(s, d), _flagged(s, d)),
     "extract_exclude": lambda s, d: R.extract(_reads(s, d), _flagged(s, d), True),

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .text import numbered
+
 MAGIC, VERSION, RECORD = b"BUS\0", 1, 32
 DTYPE = np.dtype([("barcode", "<i8"), ("umi", "<i8"), ("ec", "<i4"), ("count", "<u4"), ("flags", "<u4"), ("pad", "<u4")])
 SCHEMA = "barcode long, umi long, ec int, count long, flags long, pad long, _rid long"
@@ -68,8 +70,10 @@ def read_bus(spark: SparkSession, path: str) -> DataFrame:
     _, _, n = parse_header(read_head(spark, path, 20))
     if n % RECORD == 0:
         skip = n // RECORD
-        rows = spark.sparkContext.binaryRecords(path, RECORD).zipWithIndex().filter(lambda x: x[1] >= skip).map(lambda x: (bytearray(x[0]), x[1] - skip))
-        split = spark.createDataFrame(rows, "value binary, _rid long")
+        rdd = spark._jsc.sc().binaryRecords(path, RECORD, spark._jsc.hadoopConfiguration())
+        rows = DataFrame(spark._jsparkSession.createDataset(rdd, spark._jvm.org.apache.spark.sql.Encoders.BINARY()).toDF(), spark)
+        rows = numbered(rows.select("value", F.spark_partition_id().alias("_part")), "_part")
+        split = rows.where(F.col("_rid") >= skip).select("value", F.col("_rid") - skip)
         return split.mapInArrow(lambda it: (_arrays(np.frombuffer(b"".join(b.column(0).to_pylist()), DTYPE), b.column(1).to_numpy()) for b in it if b.num_rows), SCHEMA)
 
     def whole(batches):

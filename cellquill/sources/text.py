@@ -5,10 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dna
+from ..plans.hints import dictionary
 
 
 def fresh(spark: SparkSession, name: str) -> str:
@@ -38,14 +39,26 @@ def from_lines(lines: DataFrame) -> DataFrame:
     )
 
 
+def numbered(rows: DataFrame, *block: str) -> DataFrame:
+    """``rows`` with their number, ``_rid``: a row's place in its input block, behind the rows of all blocks before.
+
+    ``block`` are columns that name a row's block and sort blocks; a block is read by one task. Two passes, no Python.
+    """
+    rows = rows.withColumn("_i", F.monotonically_increasing_id())
+    blocks = rows.groupBy(*block).agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_first"))
+    before = F.sum("_n").over(Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1))  # a row a block
+    blocks = blocks.select(*block, (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_base"))
+    return rows.join(dictionary(blocks), list(block)).withColumn("_rid", F.col("_i") + F.col("_base")).drop("_i", "_base", *block)
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(value, _rid): lines with their number in the file, by partition counts and so without one task for all."""
-    rows = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[0][0], x[1]))
-    return spark.createDataFrame(rows, "value string, _rid long")
+    """(value, _rid): lines with their number over all files in order of name."""
+    return numbered(spark.read.text(path).select("value", F.input_file_name().alias("_file"), F.input_file_block_start().alias("_start")), "_file", "_start")
 
 
-def read_text(spark: SparkSession, path: str) -> DataFrame:
-    return from_lines(numbered_lines(spark, path))
+def read_text(spark: SparkSession, path: str, numbered: bool = True) -> DataFrame:
+    """Records of text files; with ``numbered`` also their line's number, which costs a second pass over the files."""
+    return from_lines(numbered_lines(spark, path) if numbered else spark.read.text(path))
 
 
 def write_text(bus: DataFrame, path: str, bclen: int, umilen: int, flags: bool = False, pad: bool = False) -> None:
@@ -105,8 +118,6 @@ def write_reads(reads: DataFrame, path: str) -> None:
 
 def indexed(counts: DataFrame, row: str, column: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(row, col, value) numbered from 1, and both label tables (n, label), labels in order."""
-    from pyspark.sql import Window
-
     labels = [counts.select(F.col(c).alias("label")).distinct().withColumn("n", F.row_number().over(Window.orderBy("label"))) for c in (row, column)]
     out = counts.join(labels[0].withColumnsRenamed({"label": row, "n": "_r"}), row).join(labels[1].withColumnsRenamed({"label": column, "n": "_c"}), column)
     return out.select(F.col("_r").alias("row"), F.col("_c").alias("col"), "value"), *labels

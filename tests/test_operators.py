@@ -184,3 +184,20 @@ def test_labels_and_summary(spark):
     assert got["numRecords"] == 3 and got["numReads"] == 6 and got["numUMIs"] == 2 and got["medianTargetsPerSet"] == 2 and got["numTargets"] == 2 and got["numSingleton"] == 3
     assert got["percentageBarcodesOnOnlist"] == 50 and abs(got["percentageReadsOnOnlist"] - 100 / 3) < 1e-9
     assert len(outputs.NAMES | outputs.TARGET_NAMES | outputs.LISTED_NAMES) == len(got)
+
+
+def test_lines_are_numbered_over_blocks_and_files(spark, tmp_path):
+    lines = [f"line {i} " + "x" * (i % 90) for i in range(3000)]
+    for k, (a, b) in enumerate([(0, 1200), (1200, 1201), (1201, 3000)]):
+        (tmp_path / f"part-{k}.txt").write_text("\n".join(lines[a:b]) + "\n")
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(k) for k in keys]
+    for k, v in zip(keys, ("5000", "1")):
+        spark.conf.set(k, v)
+    try:
+        got = T.numbered_lines(spark, str(tmp_path))
+        assert got.rdd.getNumPartitions() > 5 and [r.value for r in got.orderBy("_rid").collect()] == lines
+        assert got.agg({"_rid": "max"}).first()[0] == 2999
+    finally:
+        for k, v in zip(keys, before):
+            spark.conf.set(k, v)
