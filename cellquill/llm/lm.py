@@ -7,12 +7,17 @@ the mass D * V / N that absolute discounting leaves over (V words among N traini
 seen c times has one arc for the whole word, of weight (c - D) / N. Words start at the vocabulary's space mark, so a text's
 segmentations are those of its words combined, and its log probability is the sum of theirs and of the end's.
 
+Kinds of text (languages) have such a model each, of their own words' counts; what these give up goes to the words of all texts
+by the model above. A text's kind is a hidden choice like its segmentation: the likelihoods under each kind, and under none,
+are summed by the kinds' shares of the training rows. Each model's probabilities add up to one, and so do the texts'.
+
 Every distinct word is scored once, in a distributed table of words. Documents then look up the most frequent words, ``HOT`` at
 most, in a broadcast dictionary of that bounded size; their other words go through a join with the whole table, so nothing is left out.
 
 Nulls: a null text is an empty one: its end is its one token. A null id falls in no fold, is learned from and scored. Repeated
 rows count, and are scored, once each. An empty table gives an empty result; if all rows are held out the pieces are equally
-likely, a word has half of their lattice's probability and the end the other half. Other columns are not read.
+likely, a word has half of their lattice's probability and the end the other half. A row whose kind is null, or none of the
+most frequent, is learned from for all texts only. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,6 +39,7 @@ HOT = 100_000
 FLUSH = 400_000  # distinct words a task gathers before it sends their counts
 MARK = "▁"  # the vocabulary's space mark
 SMOOTH = 0.1
+KINDS = 16  # kinds of text with word counts of their own
 LONG = 48  # letters from which a word is scored by itself
 SLOTS = 1 << 19
 ROUNDS = 6
@@ -42,24 +48,28 @@ NONE, PREFIX = -1, -2  # no piece; only the start of one
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
-def word_counts(docs: DataFrame, text_col: str, training: Column) -> DataFrame:
-    """(word, c): every word of ``docs`` with its count in the training rows, which may be 0."""
+def word_counts(docs: DataFrame, text_col: str, training: Column, kind: Column | None = None, kinds: int = 0) -> DataFrame:
+    """(word, c, c1 ...): every word of ``docs`` with its count in the training rows, which may be 0, and in those of each ``kind`` from 1 to ``kinds``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        seen = [Counter() for _ in range(kinds + 1)]
         for batch in batches:
-            for text, train in zip(batch.column(0), batch.column(1).to_pylist()):
+            for text, train, k in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 ws = words(text.as_py())
-                seen.update(ws if train else dict.fromkeys(ws, 0))
-                if len(seen) > FLUSH:
-                    yield sent(seen)
-                    seen.clear()
-        yield sent(seen)
+                seen[k if train else 0].update(ws if train else dict.fromkeys(ws, 0))
+                if sum(map(len, seen)) > FLUSH:
+                    yield from sent(seen)
+        yield from sent(seen)
 
-    def sent(seen: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.binary()).cast(pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "c"])
+    def sent(seen: list[Counter]) -> Iterator[pa.RecordBatch]:
+        for k, counts in enumerate(seen):
+            cells = [pa.array(list(counts.keys()), pa.binary()).cast(pa.string()), pa.array([k] * len(counts), pa.int32()), pa.array(list(counts.values()), pa.int64())]
+            yield pa.RecordBatch.from_arrays(cells, names=["word", "k", "c"])
+            counts.clear()
 
-    return docs.select(F.col(text_col), training).mapInArrow(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    rows = docs.select(F.col(text_col), training, F.lit(0) if kind is None else kind).mapInArrow(count, "word string, k int, c long")
+    of_kind = [F.sum(F.when(F.col("k") == k, F.col("c")).otherwise(0)).alias(f"c{k}") for k in range(1, kinds + 1)]
+    return rows.groupBy("word").agg(F.sum("c").alias("c"), *of_kind)
 
 
 class Vocabulary:
@@ -361,63 +371,106 @@ def frequent(table: DataFrame, most: int) -> list:
     return table.where(level >= F.lit(least)).collect() if n and least < math.inf else []
 
 
-def score(docs: DataFrame, vocabulary_path: str, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of each row; ``training`` marks the rows to learn from."""
+class Discounted:
+    """Absolute discounting: a word seen c times keeps (c - D) / N, as a logarithm; ``left`` is the share that all words give up, ``end`` that of texts' ends."""
+
+    def __init__(self, n_words: int, types: int, once: int, twice: int, ends: int):
+        self.types, self.ends, self.total = types, ends, n_words + ends
+        self.discount = min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
+        self.left = self.discount * types / self.total if self.total else 0.5
+        self.end = ends / self.total if ends else 0.5
+
+    def kept(self, c: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore"):
+            return np.log(np.maximum(c - self.discount, 0) / max(self.total, 1))
+
+
+def measured(counted: DataFrame, ends: list[int]) -> list[Discounted]:
+    """The models of all training rows and of each kind, from the counts of ``counted`` and of the texts."""
+    names = ["c", *(f"c{k}" for k in range(1, len(ends)))]
+    sums = [x for c in names for x in (F.sum(c), *(F.count(F.when(test, 1)) for test in (F.col(c) > 0, F.col(c) == 1, F.col(c) == 2)))]
+    got = [int(x or 0) for x in counted.agg(*sums).first()]
+    return [Discounted(*got[4 * k : 4 * k + 4], n) for k, n in enumerate(ends)]
+
+
+def score(docs: DataFrame, vocabulary_path: str, training: Column, id_col: str = "doc_id", text_col: str = "text", kind_col: str | None = None, kinds: int = KINDS) -> DataFrame:
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of each row; ``training`` marks the rows to learn from.
+
+    The ``kinds`` values of ``kind_col`` (a language, say) that most training rows have get word counts of their own; of a scored
+    row the column is not read.
+    """
     spark = docs.sparkSession
-    counted = written(word_counts(docs, text_col, training), "words")
-    ends = docs.where(training).count()
-    stats = counted.agg(F.sum("c"), F.count(F.when(F.col("c") > 0, 1)), F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1))).first()
-    n_words, types, once, twice = (int(x or 0) for x in stats)
-    total, distinct = n_words + ends, types + (ends > 0)
-    discount = min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
+    ends, kind = [docs.where(training).count()], None
+    if kind_col is not None:
+        found = docs.where(training & F.col(kind_col).isNotNull()).groupBy(F.col(kind_col).cast("string").alias("kind")).count().orderBy(F.desc("count"), "kind").limit(kinds).collect()
+        ends += [r["count"] for r in found]
+        if found:
+            kind = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, r in enumerate(found, 1) for x in (r["kind"], k)]), F.col(kind_col).cast("string")), F.lit(0))
+    counted = written(word_counts(docs, text_col, training, kind, len(ends) - 1), "words")
+    models = measured(counted, ends)
+    whole, of_kind = models[0], models[1:]
     logp = spark.sparkContext.broadcast(fitted(counted, vocabulary_path))
-    low = total + SMOOTH * (distinct + 1)
-    base_of = lambda c: math.log10((c + SMOOTH) / low)
-    left = discount * types / total if total else 0.5
-    end_score = math.log10(ends / total) if ends else math.log10(0.5)
+    distinct = whole.types + (whole.ends > 0)
+    low = whole.total + SMOOTH * (distinct + 1)
+    # a kind whose texts have no words has no model
+    used = [k for k, m in enumerate(of_kind, 1) if m.types]
+    columns = ["s0", *(f"s{k}" for k in used)]
+    share = 1 - whole.end  # of words among tokens
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(vocabulary(vocabulary_path), logp.value)
         for batch in batches:
-            c = batch.column(1).to_numpy().astype(np.float64)
-            pieces = lattice.many(batch.column(0).to_pylist()) + math.log(left)
-            whole = np.log(np.maximum(c - discount, 1e-300) / max(total, 1))
-            both = np.where(c > 0, np.logaddexp(pieces, whole), pieces) / math.log(10)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.log10((c + SMOOTH) / low)), pa.array(both)], names=["word", "c", "base", "score"])
-
-    table = written(counted.mapInArrow(weigh, "word string, c long, base double, score double"), "scored")
+            counts = [batch.column(1 + k).to_numpy().astype(np.float64) for k in range(len(models))]
+            pieces = lattice.many(batch.column(0).to_pylist()) + math.log(whole.left)
+            logs = [np.logaddexp(pieces, whole.kept(counts[0]))]
+            logs += [np.logaddexp(logs[0] + math.log(models[k].left / share), models[k].kept(counts[k])) for k in used]
+            cells = [pa.array(np.log10((counts[0] + SMOOTH) / low)), *(pa.array(x / math.log(10)) for x in logs)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cells], names=["word", "c", "base", *columns])
+
+    table = written(counted.mapInArrow(weigh, f"word string, c long, base double, {', '.join(f'{c} double' for c in columns)}"), "scored")
     hot = frequent(table, HOT)
-    held = spark.sparkContext.broadcast({r["word"].encode(): (r["c"] > 0, r["base"], r["score"]) for r in hot})
-    end_base, end_known = base_of(ends), int(ends > 0)
-    kinds = "row long, doc_id long, word string, times long, n_tokens long, n_known long, base double, score double"
+    sums = ["n_known", "base", *columns]
+    held = spark.sparkContext.broadcast(({r["word"].encode(): i for i, r in enumerate(hot)}, np.array([[r["c"] > 0, r["base"], *(r[c] for c in columns)] for r in hot], np.float64).reshape(-1, len(sums))))
+    end = np.array([whole.ends > 0, math.log10((whole.ends + SMOOTH) / low), *(math.log10(models[k].end) for k in (0, *used))])
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, row = held.value, TaskContext.get().partitionId() << 36
+        (index, values), row = held.value, TaskContext.get().partitionId() << 36
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                part, out = batch.slice(at, 500), []
+                part, texts, rare = batch.slice(at, 500), [], []
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1)):
-                    ws = words(text.as_py())
-                    known, base, total_score = end_known, end_base, end_score
-                    for w, times in Counter(ws).items():
-                        if got := found.get(w):
-                            known += times * got[0]
-                            base += times * got[1]
-                            total_score += times * got[2]
-                        else:
-                            out.append((row, doc, w.decode(), times, 0, 0, 0.0, 0.0))
-                    out.append((row, doc, None, 0, len(ws) + 1, known, base, total_score))
+                    seen = Counter(words(text.as_py()))
+                    place = np.fromiter((index.get(w, -1) for w in seen), np.int64, len(seen))
+                    times = np.fromiter(seen.values(), np.float64, len(seen))
+                    known = place >= 0
+                    texts.append((row, doc, int(times.sum()) + 1, times[known] @ values[place[known]] + end))
+                    rare += [(row, doc, w.decode(), n) for (w, n), there in zip(seen.items(), known.tolist()) if not there]
                     row += 1
-                types_ = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types_)], names=[k.split()[0] for k in kinds.split(", ")])
-
-    looked = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(look, kinds), "looked")
-    sums = ["n_tokens", "n_known", "base", "score"]
-    rare = looked.where("word IS NOT NULL").select("row", "doc_id", "word", "times").join(table, "word")
-    rare = rare.select("row", "doc_id", F.lit(0).cast("long").alias("n_tokens"), F.when(F.col("c") > 0, F.col("times")).otherwise(0).alias("n_known"), (F.col("times") * F.col("base")).alias("base"), (F.col("times") * F.col("score")).alias("score"))
-    rare = rare.groupBy("row", "doc_id").agg(*[F.sum(c).alias(c) for c in sums])
-    full = looked.where("word IS NULL").select("row", "doc_id", *sums).unionByName(rare).groupBy("row", "doc_id").agg(*[F.sum(c).alias(c) for c in sums])
-    return full.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
+                got = [list(c) for c in zip(*texts)] if texts else [[], [], [], np.zeros((0, len(sums)))]
+                matrix = np.array(got[3]).reshape(-1, len(sums))
+                yield rows([*got[:2], [None] * len(got[0]), [0] * len(got[0]), got[2]], matrix)
+                got = [list(c) for c in zip(*rare)] if rare else [[], [], [], []]
+                yield rows([*got, [0] * len(got[0])], np.zeros((len(got[0]), len(sums))))
+
+    fields = [("row", pa.int64()), ("doc_id", pa.int64()), ("word", pa.string()), ("times", pa.int64()), ("n_tokens", pa.int64())]
+
+    def rows(cells: list, matrix: np.ndarray) -> pa.RecordBatch:
+        arrays = [pa.array(c, t) for c, (_, t) in zip(cells, fields)] + [pa.array(np.ascontiguousarray(c)) for c in matrix.T]
+        return pa.RecordBatch.from_arrays(arrays, names=[*(n for n, _ in fields), *sums])
+
+    schema = f"row long, doc_id long, word string, times long, n_tokens long, {', '.join(f'{c} double' for c in sums)}"
+    looked = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(look, schema), "looked")
+    rare = looked.where("word IS NOT NULL").select("row", "doc_id", "word", "times").join(table.withColumn("n_known", (F.col("c") > 0).cast("double")), "word")
+    rare = rare.select("row", "doc_id", F.lit(0).cast("long").alias("n_tokens"), *[(F.col("times") * F.col(c)).alias(c) for c in sums])
+    every = ["n_tokens", *sums]
+    rare = rare.groupBy("row", "doc_id").agg(*[F.sum(c).alias(c) for c in every])
+    full = looked.where("word IS NULL").select("row", "doc_id", *every).unionByName(rare).groupBy("row", "doc_id").agg(*[F.sum(c).alias(c) for c in every])
+    # the text's kind is unknown: the sum over the kinds, and over none, by their share of training rows
+    prior = [ends[0] - sum(ends[k] for k in used), *(ends[k] for k in used)]
+    logs = [F.col(c) + math.log10((n + 1) / (ends[0] + len(prior))) for c, n in zip(columns, prior)]
+    top = F.greatest(*logs, logs[0])
+    total = top + F.log10(sum((F.pow(F.lit(10.0), x - top) for x in logs), F.lit(0.0)))
+    return full.select("doc_id", "n_tokens", F.col("n_known").cast("long").alias("n_known"), F.lit(whole.total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), total.alias("score"))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
@@ -426,5 +479,5 @@ def op4(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
     held_out = lambda: fold(F.col("doc_id"), 10) == 0
-    scored = score(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), ~held_out())
+    scored = score(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), ~held_out(), kind_col="lang")
     return scored.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

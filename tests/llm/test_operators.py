@@ -243,6 +243,35 @@ def test_lm_base_scores(spark, sf_dir, texts):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 10 == 0)
 
 
+def test_texts_are_sums_over_kinds(spark, monkeypatch):
+    vocab = lm.vocabulary(PIECES)
+    logp = lm.probabilities(vocab, np.random.default_rng(4).random(vocab.size))
+    monkeypatch.setattr(lm, "fitted", lambda *_: logp)
+    monkeypatch.setattr(lm, "HOT", 4)
+    rows = [(1, "a b a c", "x"), (2, "a d d d e", "x"), (3, "q r q", "y"), (4, "q s a", "y"), (5, "b a z", None), (6, None, "x"), (7, "q q a unseen", None), (8, "", None), (9, "w" * 700, "z"), (10, "a d a b e", "y")]
+    train = F.col("doc_id") <= 6
+    got = {r.doc_id: r for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), PIECES, train, kind_col="lang").collect()}
+    tokens = {i: [*(t or "").split(), None] for i, t, _ in rows}
+
+    def model(ids, back):
+        c = collections.Counter(w for i in ids for w in tokens[i])
+        n, ends = sum(c.values()), c.pop(None)
+        once, twice = (sum(v == k for v in c.values()) for k in (1, 2))
+        d = min(0.95, max(0.1, once / (once + 2 * twice)))
+        return lambda w: ends / n if w is None else max(c[w] - d, 0) / n + d * len(c) / n * back(w)
+
+    lattice = lm.Lattice(vocab, logp)
+    whole = model(range(1, 7), lambda w: math.exp(lattice.one(w)))
+    share = 1 - whole(None)
+    models = [(1 + 1, whole), *((n + 1, model(ids, lambda w: whole(w) / share)) for n, ids in ((3, (1, 2, 6)), (2, (3, 4))))]
+    for i, r in got.items():
+        if i != 9:
+            assert abs(r.score - math.log10(sum(n / 9 * math.prod(map(m, tokens[i])) for n, m in models))) < 1e-9, i
+    assert -20_000 < got[9].score < -1000  # below what a float's probability can be
+    plain = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string, lang string"), PIECES, train).collect()}
+    assert abs(plain[10] - math.log10(math.prod(map(whole, tokens[10])))) < 1e-9 and got[10].score != plain[10]
+
+
 def test_rare_words_are_joined_like_frequent_ones(spark, sf_dir, monkeypatch):
     docs = table(spark, sf_dir, "documents")
     whole = {r.doc_id: r for r in lm.score(docs, PIECES, F.lit(True)).collect()}
