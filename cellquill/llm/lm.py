@@ -43,7 +43,7 @@ KINDS = 16  # kinds of text with word counts of their own
 LONG = 48  # letters from which a word is scored by itself
 SLOTS = 1 << 19
 ROUNDS = 6
-AT_ONCE = 5000  # words whose lattices are made at once
+AT_ONCE = 4000  # words whose lattices are made at once
 NONE, PREFIX = -1, -2  # no piece; only the start of one
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -173,9 +173,14 @@ class Lattice:
     def __init__(self, vocab: Vocabulary, logp: np.ndarray):
         self.vocab = vocab
         # pieces by the hash of their letters, and what is only the start of a piece
-        known = {_hash(piece[:n]): PREFIX for piece in vocab.pieces for n in range(1, len(piece))}
-        known |= {_hash(piece): i for piece, i in vocab.pieces.items()}
-        keys, ids = np.fromiter(known, np.uint64, len(known)), np.fromiter(known.values(), np.int64, len(known))
+        sizes = np.fromiter(map(len, vocab.pieces), np.int64, len(vocab.pieces))
+        of, codes = np.fromiter(vocab.pieces.values(), np.int64, len(sizes)), np.frombuffer("".join(vocab.pieces).encode("utf-32-le"), np.uint32)
+        first, key, found = np.cumsum(sizes) - sizes, np.zeros(len(sizes), np.uint64), {}
+        for n in range(1, vocab.longest + 1):
+            key = np.where(sizes >= n, _mix(key, codes[np.minimum(first + n - 1, len(codes) - 1)].astype(np.uint64)), key)
+            found |= dict.fromkeys((key[sizes > n]).tolist(), PREFIX)
+        found |= zip(key.tolist(), of.tolist())
+        keys, ids = np.fromiter(found, np.uint64, len(found)), np.fromiter(found.values(), np.int64, len(found))
         self.bits, self.ids = np.zeros(SLOTS, np.uint64), np.full(SLOTS, NONE)
         slots = _slot(keys)
         first = np.unique(slots, return_index=True)[1]
@@ -192,10 +197,12 @@ class Lattice:
     def lookup(self, keys: np.ndarray) -> np.ndarray:
         """The piece of each hash; PREFIX for what only starts one, NONE for all else."""
         slot = _slot(keys)
-        out = np.where(self.bits[slot] == keys, self.ids[slot], NONE)
-        if len(self.rest_keys):
-            at = np.minimum(np.searchsorted(self.rest_keys, keys), len(self.rest_keys) - 1)
-            out = np.where(self.rest_keys[at] == keys, self.rest_ids[at], out)
+        held = self.bits[slot]
+        out = np.where(held == keys, self.ids[slot], NONE)
+        other = np.flatnonzero((held != keys) & (held != 0))
+        if len(self.rest_keys) and len(other):
+            at = np.minimum(np.searchsorted(self.rest_keys, keys[other]), len(self.rest_keys) - 1)
+            out[other] = np.where(self.rest_keys[at] == keys[other], self.rest_ids[at], NONE)
         return out
 
     def spelled(self, letter: str) -> np.ndarray:
@@ -217,9 +224,10 @@ class Lattice:
     def many(self, batch: list[str]) -> np.ndarray:
         out = np.empty(len(batch))
         short = [i for i, w in enumerate(batch) if len(w) <= LONG]
-        if short:
-            arcs = Arcs(self, [batch[i] for i in short])
-            out[short] = arcs.forward()[arcs.last]
+        for at in range(0, len(short), AT_ONCE):
+            some = short[at : at + AT_ONCE]
+            arcs = Arcs(self, [batch[i] for i in some])
+            out[some] = arcs.forward()[arcs.last]
         for i, w in enumerate(batch):
             if len(w) > LONG:
                 out[i] = self.one(w)
@@ -228,8 +236,9 @@ class Lattice:
     def expected(self, batch: list[str]) -> np.ndarray:
         """Expected number of times each piece is used in the words, over their segmentations."""
         sums = np.zeros(len(self.logp))
-        if short := [w for w in batch if len(w) <= LONG]:
-            sums += Arcs(self, short).uses()
+        short = [w for w in batch if len(w) <= LONG]
+        for at in range(0, len(short), AT_ONCE):
+            sums += Arcs(self, short[at : at + AT_ONCE]).uses()
         for w in batch:
             if len(w) > LONG:
                 self.add_expected(w, sums)
@@ -348,13 +357,6 @@ def _mix(key: np.ndarray, code: np.ndarray) -> np.ndarray:
     return key ^ (key >> np.uint64(29))
 
 
-def _hash(piece: str) -> int:
-    key = np.zeros(1, np.uint64)
-    for c in piece:
-        key = _mix(key, np.array([ord(c)], np.uint64))
-    return int(key[0])
-
-
 def frequent(table: DataFrame, most: int) -> list:
     """The most frequent words' rows: those down to a level of the count, in steps of a 16th of its logarithm, that at most ``most`` words reach.
 
@@ -418,7 +420,7 @@ def score(docs: DataFrame, vocabulary_path: str, training: Column, id_col: str =
     share = 1 - whole.end  # of words among tokens
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(vocabulary(vocabulary_path), logp.value)
+        lattice = weighed(vocabulary_path, logp.value)
         for batch in batches:
             counts = [batch.column(1 + k).to_numpy().astype(np.float64) for k in range(len(models))]
             pieces = lattice.many(batch.column(0).to_pylist()) + math.log(whole.left)
