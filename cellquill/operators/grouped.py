@@ -21,16 +21,17 @@ def gene_sets(ec_gene: DataFrame) -> DataFrame:
     return ec_gene.groupBy("ec").agg(F.array_sort(F.collect_set("gene")).alias("genes"))
 
 
-def merge_umis(umis: np.ndarray, counts: np.ndarray, genes: list[frozenset], umilen: int) -> np.ndarray:
-    """For each distinct UMI of a barcode the UMI it becomes.
+def merge_umis(umis: np.ndarray, counts: np.ndarray, genes: list[int], umilen: int) -> np.ndarray:
+    """For each distinct UMI of a barcode the UMI it becomes; ``genes`` are sets as bits.
 
     An edge leads from a molecule to one that differs in a base, shares a gene, and has at most half its count (rounded up).
     In a component, molecules without an edge into them (else the first) take over what they reach, as long as the
     shared genes last; this repeats while more than one is left.
     """
-    at = {int(u): i for i, u in enumerate(umis)}
+    at = {u: i for i, u in enumerate(umis.tolist())}
     flips = [x << (2 * k) for k in range(umilen) for x in (1, 2, 3)]
-    near = [sorted(j for f in flips if (j := at.get(int(u) ^ f)) is not None and genes[i] & genes[j]) for i, u in enumerate(umis)]
+    near = [sorted(j for f in flips if (j := at.get(u ^ f)) is not None and genes[i] & genes[j]) for i, u in enumerate(umis.tolist())]
+    counts = counts.tolist()
     after = [[j for j in js if counts[i] >= 2 * counts[j] - 1] for i, js in enumerate(near)]
     before = [[i for i in js if counts[i] >= 2 * counts[j] - 1] for j, js in enumerate(near)]
     target, done = np.arange(len(umis)), np.zeros(len(umis), bool)
@@ -72,18 +73,22 @@ def correct_umis(bus: DataFrame, ec_gene: DataFrame, umilen: int) -> DataFrame:
     """
     first = F.min("_rid") if "_rid" in bus.columns else F.lit(0).cast("long")
     rows = bus.where("ec IS NOT NULL").groupBy("barcode", "umi", "ec").agg(F.sum("count").alias("count"), F.min("flags").alias("flags"), F.min("pad").alias("pad"), first.alias("first"))
-    rows = rows.join(dictionary(gene_sets(ec_gene)), "ec", "left")
+    # a set travels as one string, which becomes a bit for each of the cell's genes
+    rows = rows.join(dictionary(gene_sets(ec_gene).select("ec", F.array_join("genes", "\n").alias("genes"))), "ec", "left")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         umi, ec, first = (pdf[c].to_numpy() for c in ("umi", "ec", "first"))
+        codes, names = pd.factorize(pdf["genes"])
+        bit: dict[str, int] = {}
+        masks = [sum(1 << bit.setdefault(g, len(bit)) for g in s.split("\n")) if s else 0 for s in names]
+        held = np.array([*masks, 0], object)[codes]  # the last is that of no set, -1
         _, molecule = np.unique(umi, return_inverse=True)
         least = np.full(molecule.max() + 1, first.max())
         np.minimum.at(least, molecule, first)
         order = np.lexsort((ec, umi, least[molecule]))
-        umi, ec, count, flags, pad, sets = (pdf[c].to_numpy()[order] for c in ("umi", "ec", "count", "flags", "pad", "genes"))
-        sets = [frozenset(g) if g is not None else frozenset() for g in sets]
+        umi, ec, count, flags, pad = (pdf[c].to_numpy()[order] for c in ("umi", "ec", "count", "flags", "pad"))
         starts = np.flatnonzero(np.r_[True, umi[1:] != umi[:-1]])
-        genes = [frozenset.intersection(*sets[a:b]) for a, b in zip(starts, [*starts[1:], len(umi)])]
+        genes = np.bitwise_and.reduceat(held[order], starts).tolist()
         merged = merge_umis(umi[starts], np.add.reduceat(count, starts), genes, umilen)
         umi = np.repeat(merged, np.diff(np.r_[starts, len(umi)]))
         # sums by molecule and class; flags and pad are those of the first record

@@ -7,6 +7,7 @@ header, are read by one task each. Writing streams ordered chunks through the dr
 from __future__ import annotations
 
 import struct
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,7 @@ from .text import numbered
 MAGIC, VERSION, RECORD = b"BUS\0", 1, 32
 DTYPE = np.dtype([("barcode", "<i8"), ("umi", "<i8"), ("ec", "<i4"), ("count", "<u4"), ("flags", "<u4"), ("pad", "<u4")])
 SCHEMA = "barcode long, umi long, ec int, count long, flags long, pad long, _rid long"
+STDOUT = "-"
 KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
 
@@ -33,6 +35,11 @@ def _hadoop(spark: SparkSession, path: str):
 
 
 def write_file(spark: SparkSession, path: str, chunks: Iterator[bytes]) -> None:
+    if path == STDOUT:
+        for chunk in chunks:
+            sys.stdout.buffer.write(chunk)
+        sys.stdout.buffer.flush()
+        return
     p, fs = _hadoop(spark, path)
     out = fs.create(p)
     try:

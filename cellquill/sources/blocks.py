@@ -170,16 +170,16 @@ def decode_block(body: bytes, rows: int, frame: int = FRAME) -> np.ndarray:
     return out
 
 
-def write_busz(bus: DataFrame, path: str, bclen: int, umilen: int, frame: int = FRAME) -> None:
-    """``bus`` in order of barcode and UMI as one file."""
+def write_busz(bus: DataFrame, path: str, bclen: int, umilen: int, frame: int = FRAME, rows: int = ROWS) -> None:
+    """``bus`` in order of barcode and UMI as one file, in blocks of ``rows`` records at most."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, ROWS):
-                yield pa.RecordBatch.from_arrays([pa.array([encode_block(binary._packed(b.slice(at, ROWS)), frame)], pa.binary())], names=["chunk"])
+            for at in range(0, b.num_rows, rows):
+                yield pa.RecordBatch.from_arrays([pa.array([encode_block(binary._packed(b.slice(at, rows)), frame)], pa.binary())], names=["chunk"])
 
     def every():
-        yield MAGIC + struct.pack("<4I", binary.VERSION, bclen, umilen, 0) + struct.pack("<3I", ROWS, frame, 0)
+        yield MAGIC + struct.pack("<4I", binary.VERSION, bclen, umilen, 0) + struct.pack("<3I", rows, frame, 0)
         yield from binary._chunks(bus, pack)
         yield END
 
