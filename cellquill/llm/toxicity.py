@@ -24,6 +24,7 @@ Repeated rows get repeated, equal scores. An empty table gives an empty result.
 from __future__ import annotations
 
 import re
+import string
 from collections import Counter
 from collections.abc import Iterator
 
@@ -50,6 +51,9 @@ OUTER = re.compile(r"^[\W_]+|[\W_]+$")
 
 def spellings(token: str) -> set[str]:
     """What of a token is matched: its runs of letters, and the whole of it without outer marks, as digits and marks may stand for letters."""
+    core = token.strip(string.punctuation)
+    if core.isalpha():  # nearly every token: both are the same
+        return {core}
     return {*LETTERS.findall(token), OUTER.sub("", token)} - {""}
 
 
