@@ -25,7 +25,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +45,7 @@ SLOTS = 1 << 19
 ROUNDS = 6
 AT_ONCE = 4000  # words whose lattices are made at once
 NONE, PREFIX = -1, -2  # no piece; only the start of one
+BETWEEN = 1 << 32  # no letter's code
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -62,6 +63,8 @@ def word_counts(docs: DataFrame, text_col: str, training: Column, kind: Column |
         yield from sent(seen)
 
     def sent(seen: list[Counter]) -> Iterator[pa.RecordBatch]:
+        for w in [w for w, c in seen[0].items() if c == 0 and any(w in counts for counts in seen[1:])]:
+            del seen[0][w]
         for k, counts in enumerate(seen):
             cells = [pa.array(list(counts.keys()), pa.binary()).cast(pa.string()), pa.array([k] * len(counts), pa.int32()), pa.array(list(counts.values()), pa.int64())]
             yield pa.RecordBatch.from_arrays(cells, names=["word", "k", "c"])
@@ -69,7 +72,8 @@ def word_counts(docs: DataFrame, text_col: str, training: Column, kind: Column |
 
     rows = docs.select(F.col(text_col), training, F.lit(0) if kind is None else kind).mapInArrow(count, "word string, k int, c long")
     of_kind = [F.sum(F.when(F.col("k") == k, F.col("c")).otherwise(0)).alias(f"c{k}") for k in range(1, kinds + 1)]
-    return rows.groupBy("word").agg(F.sum("c").alias("c"), *of_kind)
+    # a task has summed each word already: shuffled as they are, rows need no table of sums before
+    return rows.repartition("word").groupBy("word").agg(F.sum("c").alias("c"), *of_kind)
 
 
 class Vocabulary:
@@ -272,63 +276,60 @@ class Lattice:
 class Arcs:
     """The arcs of a batch of words: from node ``tail`` to node ``head``, with piece (NONE for a letter spelled in bytes) and weight.
 
-    Each word has a node before each of its letters, the mark first, and one at its end, ``last``.
+    Each word has a node before each of its letters, the mark first, and one at its end, ``last``. Nodes are places in the words
+    put one after another with a code between that no piece has.
     """
 
     def __init__(self, lattice: Lattice, batch: list[str]):
-        sizes = np.fromiter(map(len, batch), np.int64, len(batch)) + 1
-        codes = np.frombuffer("".join(MARK + w for w in batch).encode("utf-32-le", "surrogatepass"), np.uint32)
-        word = np.repeat(np.arange(len(batch)), sizes)
-        letter = np.arange(len(codes))
-        offset = letter - (np.cumsum(sizes) - sizes)[word]
-        left, key, at = sizes[word] - offset, np.zeros(len(codes), np.uint64), letter
+        self.sizes = np.fromiter(map(len, batch), np.int64, len(batch)) + 2
+        self.last = np.cumsum(self.sizes) - 1
+        codes = np.frombuffer("".join(f"{MARK}{w} " for w in batch).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        codes[self.last] = BETWEEN
+        at, key = np.flatnonzero(codes != BETWEEN), np.uint64(0)
         found = []
         for n in range(1, lattice.vocab.longest + 1):  # all starts grow by a letter at once, till no piece goes on
-            inside = left[at] >= n
-            at, key = at[inside], key[inside]
-            key = _mix(key, codes[at + n - 1].astype(np.uint64))
+            key = _mix(key, codes[at + (n - 1)])
             ids = lattice.lookup(key)
-            here = (ids >= 0) | (n == 1)
-            found.append((at[here], np.full(here.sum(), n), np.maximum(ids[here], NONE)))
-            on = ids != NONE
+            here = np.flatnonzero(ids >= 0) if n > 1 else slice(None)
+            found.append((at[here], at[here] + n, np.maximum(ids[here], NONE)))
+            on = np.flatnonzero(ids != NONE)
             at, key = at[on], key[on]
-        at, n, self.ids = map(np.concatenate, zip(*found))
+        self.tail, self.head, self.ids = map(np.concatenate, zip(*found))
         self.weights = lattice.logp[self.ids]
         byte = self.ids == NONE
         if byte.any():
-            letters, inverse = np.unique(codes[at[byte]], return_inverse=True)
+            letters, inverse = np.unique(codes[self.tail[byte]], return_inverse=True)
             self.weights[byte] = np.array([lattice.logp[lattice.spelled(chr(c))].sum() for c in letters])[inverse]
-        self.tail = at + word[at]
-        self.head = self.tail + n
-        self.last = np.cumsum(sizes + 1) - 1
-        self.nodes, self.pieces = len(codes) + len(batch), len(lattice.logp)
-        self.word, self.tail_offset, self.head_offset = word[at], offset[at], offset[at] + n
-
-    def sums(self, start: np.ndarray, offset: np.ndarray, to: np.ndarray, of: np.ndarray) -> np.ndarray:
-        """Log sums along the arcs ``of`` -> ``to``, in order of ``offset``, over nodes that begin as ``start``."""
+        self.offset = np.arange(len(codes)) - np.repeat(self.last - self.sizes + 1, self.sizes)
+        self.nodes, self.pieces = len(codes), len(lattice.logp)
+
+    def sums(self, offset: np.ndarray, to: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Log sums along the arcs ``of`` -> ``to``, in order of ``offset`` (from 0), over nodes that begin as 0."""
         order = np.argsort(offset * self.nodes + to)
-        offset, to, of, weights = offset[order], to[order], of[order], self.weights[order]
-        groups = np.flatnonzero(np.r_[True, offset[1:] != offset[:-1], True])
-        for a, b in zip(groups[:-1], groups[1:]):
+        to, of, weights, out = to[order], of[order], self.weights[order], np.zeros(self.nodes)
+        ends = np.cumsum(np.bincount(offset)).tolist()
+        for a, b in zip([0, *ends], ends):
+            if a == b:
+                continue
             nodes = to[a:b]
             cuts = np.flatnonzero(np.r_[True, nodes[1:] != nodes[:-1]])
-            terms = start[of[a:b]] + weights[a:b]
+            terms = out[of[a:b]] + weights[a:b]
             top = np.maximum.reduceat(terms, cuts)
             total = np.add.reduceat(np.exp(terms - np.repeat(top, np.diff(np.r_[cuts, b - a]))), cuts)
-            start[nodes[cuts]] = top + np.log(total)
-        return start
+            out[nodes[cuts]] = top + np.log(total)
+        return out
 
     def forward(self) -> np.ndarray:
         """Log probability of all ways from a word's start to each node."""
-        return self.sums(np.zeros(self.nodes), self.head_offset, self.head, self.tail)
+        return self.sums(self.offset[self.head], self.head, self.tail)
 
     def backward(self) -> np.ndarray:
         """Log probability of all ways from each node to its word's end."""
-        return self.sums(np.zeros(self.nodes), -self.tail_offset, self.tail, self.head)
+        return self.sums(self.offset.max() - self.offset[self.tail], self.tail, self.head)
 
     def uses(self) -> np.ndarray:
         alpha, beta = self.forward(), self.backward()
-        share = np.exp(alpha[self.tail] + self.weights + beta[self.head] - alpha[self.last[self.word]])
+        share = np.exp(alpha[self.tail] + self.weights + beta[self.head] - np.repeat(alpha[self.last], self.sizes)[self.tail])
         return np.bincount(np.where(self.ids == NONE, self.pieces - 1, self.ids), share, self.pieces)
 
 
@@ -439,34 +440,39 @@ def score(docs: DataFrame, vocabulary_path: str, training: Column, id_col: str =
         (index, values), row = held.value, TaskContext.get().partitionId() << 36
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                part, texts, rare = batch.slice(at, 500), [], []
+                part, texts, rare = batch.slice(at, 500), [], ([], [], [], [])
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1)):
                     seen = Counter(words(text.as_py()))
-                    place = np.fromiter((index.get(w, -1) for w in seen), np.int64, len(seen))
-                    times = np.fromiter(seen.values(), np.float64, len(seen))
+                    place = np.fromiter(map(index.get, seen, repeat(-1)), np.int64, len(seen))
+                    times = np.fromiter(seen.values(), np.int64, len(seen))
                     known = place >= 0
                     texts.append((row, doc, int(times.sum()) + 1, times[known] @ values[place[known]] + end))
-                    rare += [(row, doc, w.decode(), n) for (w, n), there in zip(seen.items(), known.tolist()) if not there]
+                    others = np.flatnonzero(~known).tolist()
+                    if others:
+                        names = list(seen)
+                        for column, cells in zip(rare, ([row] * len(others), [doc] * len(others), map(names.__getitem__, others), times[others].tolist())):
+                            column.extend(cells)
                     row += 1
-                got = [list(c) for c in zip(*texts)] if texts else [[], [], [], np.zeros((0, len(sums)))]
-                matrix = np.array(got[3]).reshape(-1, len(sums))
-                yield rows([*got[:2], [None] * len(got[0]), [0] * len(got[0]), got[2]], matrix)
-                got = [list(c) for c in zip(*rare)] if rare else [[], [], [], []]
-                yield rows([*got, [0] * len(got[0])], np.zeros((len(got[0]), len(sums))))
+                n = len(texts)
+                if n:
+                    cells = list(zip(*texts))
+                    yield rows(cells[0], cells[1], [None] * n, [0] * n, cells[2], [x.tolist() for x in cells[3]])
+                n = len(rare[0])
+                yield rows(*rare, [0] * n, [None] * n)
 
-    fields = [("row", pa.int64()), ("doc_id", pa.int64()), ("word", pa.string()), ("times", pa.int64()), ("n_tokens", pa.int64())]
+    kinds_of = [("row", pa.int64()), ("doc_id", pa.int64()), ("word", pa.binary()), ("times", pa.int64()), ("n_tokens", pa.int64()), ("sums", pa.list_(pa.float64()))]
 
-    def rows(cells: list, matrix: np.ndarray) -> pa.RecordBatch:
-        arrays = [pa.array(c, t) for c, (_, t) in zip(cells, fields)] + [pa.array(np.ascontiguousarray(c)) for c in matrix.T]
-        return pa.RecordBatch.from_arrays(arrays, names=[*(n for n, _ in fields), *sums])
+    def rows(*cells) -> pa.RecordBatch:
+        arrays = [pa.array(c, t) for c, (_, t) in zip(cells, kinds_of)]
+        arrays[2] = arrays[2].cast(pa.string())
+        return pa.RecordBatch.from_arrays(arrays, names=[n for n, _ in kinds_of])
 
-    schema = f"row long, doc_id long, word string, times long, n_tokens long, {', '.join(f'{c} double' for c in sums)}"
+    schema = "row long, doc_id long, word string, times long, n_tokens long, sums array<double>"
     looked = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(look, schema), "looked")
     rare = looked.where("word IS NOT NULL").select("row", "doc_id", "word", "times").join(table.withColumn("n_known", (F.col("c") > 0).cast("double")), "word")
     rare = rare.select("row", "doc_id", F.lit(0).cast("long").alias("n_tokens"), *[(F.col("times") * F.col(c)).alias(c) for c in sums])
-    every = ["n_tokens", *sums]
-    rare = rare.groupBy("row", "doc_id").agg(*[F.sum(c).alias(c) for c in every])
-    full = looked.where("word IS NULL").select("row", "doc_id", *every).unionByName(rare).groupBy("row", "doc_id").agg(*[F.sum(c).alias(c) for c in every])
+    texts = looked.where("word IS NULL").select("row", "doc_id", "n_tokens", *[F.get("sums", F.lit(i)).alias(c) for i, c in enumerate(sums)])
+    full = texts.unionByName(rare).groupBy("row", "doc_id").agg(*[F.sum(c).alias(c) for c in ("n_tokens", *sums)])
     # the text's kind is unknown: the sum over the kinds, and over none, by their share of training rows
     prior = [ends[0] - sum(ends[k] for k in used), *(ends[k] for k in used)]
     logs = [F.col(c) + math.log10((n + 1) / (ends[0] + len(prior))) for c, n in zip(columns, prior)]
