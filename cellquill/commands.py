@@ -39,7 +39,7 @@ def read_records(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, int,
 
 def write_lines(lines: DataFrame, path: str) -> None:
     """``value`` of each row in order, as one file."""
-    binary.write_file(lines.sparkSession, path, ((r[0] + "\n").encode() for r in lines.select("value").toLocalIterator()))
+    binary.write_file(lines.sparkSession, path, ((r[0] + "\n").encode() for r in lines.select("value").toLocalIterator(prefetchPartitions=True)))
 
 
 def in_order(bus: DataFrame) -> DataFrame:

@@ -97,7 +97,7 @@ def read_bus(spark: SparkSession, path: str) -> DataFrame:
 def _chunks(bus: DataFrame, pack) -> Iterator[bytes]:
     """Packed chunks of an ordered DataFrame, streamed partition by partition."""
     packed = bus.select(*[F.col(c) for c in DTYPE.names]).mapInArrow(pack, "chunk binary")
-    return (bytes(r[0]) for r in packed.toLocalIterator())
+    return (bytes(r[0]) for r in packed.toLocalIterator(prefetchPartitions=True))
 
 
 def _packed(batch: pa.RecordBatch) -> np.ndarray:

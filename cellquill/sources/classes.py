@@ -72,7 +72,7 @@ def write_bec(ec_tx: DataFrame, path: str, rows: int = blocks.ROWS) -> None:
     def every() -> Iterator[bytes]:
         yield MAGIC + struct.pack("<2I", own, n - own)
         packed = sets.where(F.col("ec") >= own).orderBy("ec").select("txs").mapInArrow(pack, "chunk binary")
-        yield from (bytes(r[0]) for r in packed.toLocalIterator())
+        yield from (bytes(r[0]) for r in packed.toLocalIterator(prefetchPartitions=True))
         yield END
 
     binary.write_file(ec_tx.sparkSession, path, every())
