@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,10 +46,16 @@ class WordTokenizer:
     def __init__(self, path: str):
         # one thread: the cores belong to other tasks, and each thread would keep memory of its own
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        def encoder(tokenizer: Tokenizer):
+            return getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        self.encode = encoder(self.tokenizer)
+        plain = Tokenizer(self.tokenizer.model)
+        plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.encode_plain = encoder(plain)
         self.known: dict[bytes, bytes] = {}
         ends = [i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
@@ -58,27 +65,35 @@ class WordTokenizer:
         """Puts the ids of new words into the cache.
 
         A run of letters is one token group, and its last id alone is a word's end; so bare words are encoded as one text and
-        cut there. Marks around a word are groups of their own. Other words are encoded one by one.
+        cut there, those of plain letters without the vocabulary's normalising and splitting, which leave them as they are.
+        Marks around a word are groups of their own. Other words are encoded one by one.
         """
-        known, bare, marked, rest = self.known, [], [], []
+        known, plain, bare, marked, rest = self.known, [], [], [], []
         for word in new:
+            if word.isalpha():
+                plain.append(word)
+                continue
             core = word.strip(MARKS)
-            if not core.isalpha() and not (core and core.decode().isalpha()):
-                rest.append(word)
-            elif len(core) == len(word):
-                bare.append(word)
-            else:
+            if core.isalpha():
                 marked.append((word, core))
-        bare = list({*bare, *(c for _, c in marked)}.difference(known))
-        for at in range(0, len(bare), 2000):
-            some = bare[at : at + 2000]
-            ids = np.array(self.encode([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
-            cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
-            if len(cuts) == len(some) + 1:
-                raw = ids.tobytes()
-                known.update(zip(some, map(raw.__getitem__, map(slice, cuts, cuts[1:]))))
+                plain.append(core)
+            elif not (core and core.decode().isalpha()):
+                rest.append(word)
             else:
-                rest += some
+                bare.append(core)
+                if len(core) != len(word):
+                    marked.append((word, core))
+        for words, encode in ((plain, self.encode_plain), (bare, self.encode)):
+            words = list(set(words).difference(known))
+            for at in range(0, len(words), 2000):
+                some = words[at : at + 2000]
+                ids = np.array(encode([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
+                cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+                if len(cuts) == len(some) + 1:
+                    raw = ids.tobytes()
+                    known.update(zip(some, map(raw.__getitem__, map(slice, cuts, cuts[1:]))))
+                else:
+                    rest += some
         around = [(w, w[: (at := w.index(c))], c, w[at + len(c) :]) for w, c in marked]
         rest += {m for _, head, _, tail in around for m in (head, tail)}.difference(known)
         for at in range(0, len(rest), 2000):
@@ -88,16 +103,28 @@ class WordTokenizer:
         for word, head, core, tail in around:
             known[word] = known[head] + known[core] + known[tail]
 
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = []
-        for text in texts:
-            raw = (text or "").encode("utf-8", "replace")
-            # special tokens are found before lower-casing, so words that could hold one keep their case
-            split.append(raw.split() if b"<|" in raw else raw.lower().split())
+    def __call__(self, texts: pa.Array | list[str | None]) -> list[bytes]:
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        # special tokens are found before lower-casing, so texts that could hold one keep their case
+        lists = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
+        words = lists.values.dictionary_encode()  # cut and numbered in Arrow: the cache is asked once for each distinct word
+        raw, starts = words.dictionary.buffers()[2], np.frombuffer(words.dictionary.buffers()[1], np.int32)[: len(words.dictionary) + 1].tolist()
+        distinct = list(map((raw.to_pybytes() if raw else b"").__getitem__, map(slice, starts, starts[1:])))
         if len(self.known) > CACHE:
             self.known.clear()
-        self.learn(list(set().union(*split).difference(self.known)))  # difference() looks up, the operator would walk the cache
-        return [b"".join(map(self.known.__getitem__, ws)) for ws in split]
+        self.known[b""] = b""  # between a text's end and white space there
+        ids = list(map(self.known.get, distinct))
+        new = [i for i, got in enumerate(ids) if got is None]
+        self.learn([distinct[i] for i in new])
+        for i in new:
+            ids[i] = self.known[distinct[i]]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        codes, ids = words.indices.to_numpy(), np.frombuffer(b"".join(ids), "<u4")
+        n = sizes[codes]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = ids[np.repeat((np.cumsum(sizes) - sizes)[codes] - ends[:-1], n) + np.arange(ends[-1])]
+        cuts = ends[lists.offsets.to_numpy()].tolist()
+        return [ids[i:j].tobytes() for i, j in zip(cuts, cuts[1:])]
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -184,7 +211,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for at in range(0, len(ids), DOCS):
-                for doc, got in zip(ids[at : at + DOCS], tokens(texts[at : at + DOCS].to_pylist())):
+                for doc, got in zip(ids[at : at + DOCS], tokens(texts[at : at + DOCS])):
                     packer.add(doc, got + end)
                 yield rows(packer, part)
         packer.close()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 import public_tokenizers
 from cellquill.llm import langid, linededup, lm, media, mixing, packing, simhash, topk, toxicity, warc
-from cellquill.llm.common import fresh
+from cellquill.llm.common import fresh, parts, written
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"word{i % 977}" for i in range(60_000))
@@ -117,6 +117,13 @@ def test_top_k(spark):
     assert topk.top_k(df.where("false"), F.lit(True)).count() == 0
 
 
+def test_small_tables_have_few_files(spark):
+    rows = spark.range(0, 1000, 1, 200)
+    few = written(rows, "few", rows=1000)
+    assert few.count() == 1000 and 1 <= len(few.inputFiles()) <= parts(spark, 1000) < 200 == len(written(rows, "many").inputFiles())
+    assert parts(spark, 10**10) == 20_000 and parts(spark, size=1 << 40) == 32_768 and parts(spark, 10**18) == 1_000_000
+
+
 @pytest.mark.parametrize("stage", range(5))
 def test_stages(spark, docs, nothing, stage, tmp_path):
     name, function = corpus_pipeline.STAGES[stage]
