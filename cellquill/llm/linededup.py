@@ -15,9 +15,10 @@ Documents stand in order of id (null last), then of a hash of their text; the fi
 two independent 64-bit hashes, of the fingerprint's lines and of the extent's.
 
 Scale: all windows are over one document's lines, and their frames hold ``window_words`` lines at most. A row for each
-fingerprint is shuffled by its hash. All joins are equi-joins with a table that has one pre-aggregated row for each key, so that
+extent is shuffled by a hash of both. All joins are equi-joins with a table that has one pre-aggregated row for each key, so that
 Spark can split them where one passage is in a third of all documents; no pairs of copies are made. Texts are shuffled once, to
-be joined with their deletions. What steps hand on is written to the shared folder, so a lost executor costs one step.
+be joined with their deletions. What steps hand on is written to the shared folder, so a lost executor costs one step. Both
+that and the result are in as many partitions as the size of ``docs`` is worth, two for each core at least.
 
 Nulls: a null text stays null and an empty one empty; a null id comes last in order. Rows equal in id and text count as one
 document and are treated alike. An empty table gives an empty result. Other columns are carried along.
@@ -28,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, free_name, table_bytes, written
+from .common import WORD, free_name, parts, table_bytes, written
 
 GRAM_WORDS, WINDOW_WORDS = 12, 25
 LAST = 2**63 - 1
@@ -64,10 +65,8 @@ def fingerprints(units: DataFrame, gram_words: int, window_words: int) -> DataFr
 def deletions(prints: DataFrame) -> DataFrame:
     """(a, b, gone): for each document the positions that repeat an earlier run, with those of lines without a word between them."""
     n = prints.count()
-    shared = written(prints.groupBy("g").count().where("count > 1").select("g"), "shared", n)
-    # keyed by a hash of both, so that what one fingerprint has isn't held together
-    runs = prints.join(shared, "g").select("a", "b", "g", F.inline("extents")).withColumn("g", F.xxhash64("g", "r"))
-    runs = written(runs, "runs", 2 * n)
+    # keyed by a hash of both, so that what one fingerprint has isn't held together; few fingerprints have more than one extent
+    runs = prints.select("a", "b", "g", F.inline("extents")).withColumn("g", F.xxhash64("g", "r"))
     first = runs.groupBy("g", "r").agg(F.min(F.struct("a", "b", "pos")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("g", "r", "f")
     later = runs.join(written(first, "first", n), ["g", "r"]).where(F.struct("a", "b", "pos") != F.col("f"))
     matches = later.groupBy("a", "b").agg(F.collect_set(F.struct("pos", "last")).alias("runs"))
@@ -90,7 +89,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     units = keyed.select(F.col(a).alias("a"), F.col(b).alias("b"), F.posexplode(lines).alias("pos", "line"))
     units = units.select("a", "b", "pos", F.xxhash64(line).alias("h"), F.xxhash64(F.lit(1), line).alias("k"), F.regexp_count("line", F.lit(WORD)).cast("long").alias("w")).where("w > 0")
     units = units.repartition("a", "b").dropDuplicates(["a", "b", "pos"])
-    prints = written(fingerprints(units, gram_words, window_words), "prints", size=table_bytes(docs))
+    size = table_bytes(docs)
+    prints = written(fingerprints(units, gram_words, window_words), "prints", size=size)
     # the same join at every size: there are as many deletions as documents with copies
     found = deletions(prints).select(F.col("a").alias(ga), F.col("b").alias(gb), F.col("gone").alias(gone)).hint("merge")
     joined = keyed.join(found, (F.col(a) == F.col(ga)) & (F.col(b) == F.col(gb)), "left")
@@ -99,7 +99,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     left = F.when(F.col(gone).isNull(), F.col(lines)).otherwise(F.transform(F.array_except(every, F.col(gone)), lambda i: F.get(lines, i)))
     out = [F.array_join(left, "\n").alias(c) if c == text_col else F.col(c) for c in docs.columns]
     n = F.when(F.col(lines).isNull(), 0).otherwise(F.size(lines))
-    return joined.select(*out, n.cast("long").alias(n_lines), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(removed))
+    cleaned = joined.select(*out, n.cast("long").alias(n_lines), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(removed))
+    # the join's partitions are no measure of the result: who writes it makes a file, and processes for that, of each
+    return cleaned.coalesce(parts(docs.sparkSession, size=size))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from cellquill.llm import jpeg, langid, linededup, lm, media, packing, simhash, topk, toxicity, warc
-from cellquill.llm.common import fold, fresh, table
+from cellquill.llm.common import fold, fresh, table, written
 from cellquill.llm.components import components
 from cellquill.llm.queries import ORACLE_SQL, QUERIES
 
@@ -176,6 +176,22 @@ def test_line_dedup_deletes_all_repeated_runs(spark):
     assert {r.doc_id: r.removed_lines for r in got} == lines
 
 
+def test_line_dedup_writes_files_by_size(spark, texts):
+    df = written(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), "texts", len(texts))
+    expected = sorted(linededup.dedup_lines(df).collect(), key=str)
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        linededup.dedup_lines(df).write.parquet(path := fresh(spark, "result"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(glob.glob(f"{path.removeprefix('file://')}/part-*")) <= 2 * spark.sparkContext.defaultParallelism
+    assert sorted(spark.read.parquet(path).collect(), key=str) == expected
+
+
 # language model
 
 
