@@ -9,21 +9,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.hints import dictionary
+from ..plans.hints import dealt, dictionary, small
 
 MOLECULE = ("barcode", "umi")
 
 
-def classes(bus: DataFrame) -> DataFrame:
-    """Distinct (barcode, umi, ec) with n_ec and the molecule's copies."""
+def classes(bus: DataFrame, rows: int | None = None) -> DataFrame:
+    """Distinct (barcode, umi, ec) with n_ec and the molecule's copies. ``rows`` of ``bus`` are counted if they aren't given."""
     w = Window.partitionBy(*MOLECULE)
-    d = bus.repartition(*MOLECULE).groupBy(*MOLECULE, "ec").agg(F.sum("count").alias("c"))
+    d = dealt(bus, bus.count() if rows is None else rows, *MOLECULE).groupBy(*MOLECULE, "ec").agg(F.sum("count").alias("c"))
     return d.select(*MOLECULE, "ec", F.count(F.lit(1)).over(w).alias("n_ec"), F.sum("c").over(w).alias("copies"))
 
 
-def molecules(bus: DataFrame, ec_gene: DataFrame) -> DataFrame:
+def molecules(bus: DataFrame, ec_gene: DataFrame, rows: int | None = None) -> DataFrame:
     """(barcode, umi, gene, gn, copies): the genes that all classes of a molecule share, and how many they are."""
-    d = classes(bus).join(dictionary(ec_gene), "ec")
+    d = classes(bus, rows).join(dictionary(ec_gene), "ec")
     d = d.groupBy(*MOLECULE, "gene").agg(F.count(F.lit(1)).alias("k"), F.first("n_ec").alias("n_ec"), F.first("copies").alias("copies")).where("k = n_ec")
     return d.select(*MOLECULE, "gene", F.count(F.lit(1)).over(Window.partitionBy(*MOLECULE)).alias("gn"), "copies")
 
@@ -57,16 +57,18 @@ def transcript_sets(bus: DataFrame, ec_tx: DataFrame, tx_gene: DataFrame) -> Dat
     The classes' intersection; if that is empty, the union for one gene, or else gene by gene the intersection of
     what the classes have of the gene, or its union where that is empty too. Molecules without a gene then are dropped.
     """
-    w = Window.partitionBy(*MOLECULE)
-    genes = dictionary(ec_tx.join(dictionary(tx_gene), "tx", "left"))
-    d = classes(bus).join(genes, "ec").repartition(*MOLECULE)
-    of_gene = d.groupBy(*MOLECULE, "gene", "ec").agg(F.collect_list("tx").alias("txs"), F.first("n_ec").alias("n_ec"))
-    per_gene = of_gene.groupBy(*MOLECULE, "gene").agg(F.count(F.lit(1)).alias("m"), F.flatten(F.collect_list("txs")).alias("txs"), F.first("n_ec").alias("n_ec"))
-    t = per_gene.select(*MOLECULE, "gene", "m", "n_ec", F.explode("txs").alias("tx"))
-    t = t.groupBy(*MOLECULE, "gene", "m", "n_ec", "tx").agg(F.count(F.lit(1)).alias("k"))
-    in_gene = Window.partitionBy(*MOLECULE, "gene")
-    shared, own = F.col("k") == F.col("n_ec"), F.col("k") == F.col("m")
-    t = t.select(*MOLECULE, "gene", "tx", shared.alias("shared"), F.max(shared).over(w).alias("any_shared"), own.alias("own"), F.max(own).over(in_gene).alias("any_own"), F.size(F.collect_set("gene").over(w)).alias("ng"))
+    rows = bus.count()
+    w, in_gene = Window.partitionBy(*MOLECULE), Window.partitionBy(*MOLECULE, "gene")
+    # a class counts for a gene by the first of its transcripts there
+    head = F.row_number().over(Window.partitionBy("ec", "gene").orderBy("tx")) == 1
+    genes = ec_tx.join(dictionary(tx_gene), "tx", "left").withColumn("head", head.cast("int"))
+    d = classes(bus, rows)
+    d = d.join(F.broadcast(genes), "ec") if small(genes) else dealt(d.join(genes, "ec"), rows, *MOLECULE)
+    t = d.groupBy(*MOLECULE, "gene", "tx").agg(F.count(F.lit(1)).alias("k"), F.sum("head").alias("heads"), F.first("n_ec").alias("n_ec"))
+    # one sort, by gene and transcript, serves all windows
+    t = t.withColumn("nth", F.row_number().over(in_gene.orderBy("tx"))).withColumn("own", F.col("k") == F.sum("heads").over(in_gene)).withColumn("any_own", F.max("own").over(in_gene))
+    shared, genes_of = F.col("k") == F.col("n_ec"), F.count(F.when((F.col("nth") == 1) & F.col("gene").isNotNull(), 1))
+    t = t.select(*MOLECULE, "gene", "tx", "own", "any_own", shared.alias("shared"), F.max(shared).over(w).alias("any_shared"), genes_of.over(w).alias("ng"))
     kept = F.when(F.col("any_shared"), F.col("shared")).when(F.col("ng") == 1, True).otherwise(F.col("gene").isNotNull() & (F.col("own") | ~F.col("any_own")))
     t = t.where(kept & (F.col("any_shared") | (F.col("ng") > 0)))
     return t.groupBy(*MOLECULE).agg(F.array_join(F.array_sort(F.collect_set("tx")), ",").alias("txs"), F.size(F.collect_set("gene")).alias("n_genes"))
