@@ -1,21 +1,23 @@
 """Binary record files: a header, then 32 bytes a record (little-endian barcode, UMI, class, count, flags, pad).
 
 The header's text is padded so that it takes whole records; Spark then splits such a file anywhere. Files of others, with any
-header, are read by one task each. Writing streams ordered chunks through the driver into one file of any Hadoop store.
+header, are read by one task each. To write one file of any Hadoop store, tasks write their chunks beside it, and the driver's
+JVM copies these into it by a buffer; only standard output gets them through the driver's Python.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import numbered
+from .text import fresh, numbered
 
 MAGIC, VERSION, RECORD = b"BUS\0", 1, 32
 DTYPE = np.dtype([("barcode", "<i8"), ("umi", "<i8"), ("ec", "<i4"), ("count", "<u4"), ("flags", "<u4"), ("pad", "<u4")])
@@ -72,15 +74,19 @@ def _arrays(raw: np.ndarray, rid: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*cols, pa.array(rid, pa.int64())], names=[*DTYPE.names, "_rid"])
 
 
+def pieces(spark: SparkSession, path: str, size: int) -> DataFrame:
+    """(value, _rid): the pieces of ``size`` bytes of a file that takes whole ones, with their number."""
+    rdd = spark._jsc.sc().binaryRecords(path, size, spark._jsc.hadoopConfiguration())
+    rows = DataFrame(spark._jsparkSession.createDataset(rdd, spark._jvm.org.apache.spark.sql.Encoders.BINARY()).toDF(), spark)
+    return numbered(rows.select("value", F.spark_partition_id().alias("_part")), "_part")
+
+
 def read_bus(spark: SparkSession, path: str) -> DataFrame:
     """Records with their number in the file, ``_rid``."""
     _, _, n = parse_header(read_head(spark, path, 20))
     if n % RECORD == 0:
         skip = n // RECORD
-        rdd = spark._jsc.sc().binaryRecords(path, RECORD, spark._jsc.hadoopConfiguration())
-        rows = DataFrame(spark._jsparkSession.createDataset(rdd, spark._jvm.org.apache.spark.sql.Encoders.BINARY()).toDF(), spark)
-        rows = numbered(rows.select("value", F.spark_partition_id().alias("_part")), "_part")
-        split = rows.where(F.col("_rid") >= skip).select("value", F.col("_rid") - skip)
+        split = pieces(spark, path, RECORD).where(F.col("_rid") >= skip).select("value", F.col("_rid") - skip)
         return split.mapInArrow(lambda it: (_arrays(np.frombuffer(b"".join(b.column(0).to_pylist()), DTYPE), b.column(1).to_numpy()) for b in it if b.num_rows), SCHEMA)
 
     def whole(batches):
@@ -94,10 +100,71 @@ def read_bus(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(whole, SCHEMA)
 
 
-def _chunks(bus: DataFrame, pack) -> Iterator[bytes]:
-    """Packed chunks of an ordered DataFrame, streamed partition by partition."""
-    packed = bus.select(*[F.col(c) for c in DTYPE.names]).mapInArrow(pack, "chunk binary")
-    return (bytes(r[0]) for r in packed.toLocalIterator(prefetchPartitions=True))
+CHUNK = 16 << 20  # bytes of a chunk at which it is closed
+
+
+def _gathered(chunks: Iterator[bytes], least: int) -> Iterator[pa.RecordBatch]:
+    """Chunks in rows of ``least`` bytes or so, each behind its length."""
+    row = lambda: pa.RecordBatch.from_arrays([pa.array([struct.pack(">Q", size) + b"".join(held)], pa.binary())], names=["chunk"])
+    held, size = [], 0
+    for chunk in chunks:
+        held.append(chunk)
+        size += len(chunk)
+        if size >= least:
+            yield row()
+            held, size = [], 0
+    if size:
+        yield row()
+
+
+def _copied(spark: SparkSession, folder: str, path: str, head: Callable[[int], bytes], tail: bytes) -> None:
+    """One file of the chunks in a folder, in order of its files; the JVM moves their bytes."""
+    at, fs = _hadoop(spark, folder)
+    number = lambda f: tuple(map(int, re.match(r"part-(\d+)-.*?(?:-c(\d+))?\.txt$", f.getPath().getName()).groups("0")))
+    files = sorted((f for f in fs.listStatus(at) if f.getPath().getName().startswith("part-") and f.getLen()), key=number)
+    found = []  # (file, where a chunk starts, its bytes)
+    for f in files:
+        stream, start = fs.open(f.getPath()), 8
+        while start < f.getLen():
+            stream.seek(start - 8)
+            found.append((f.getPath(), start, stream.readLong()))
+            start += found[-1][2] + 1 + 8
+        stream.close()
+    p, to = _hadoop(spark, path)
+    out, stream, last = to.create(p), None, None
+    try:
+        out.write(bytearray(head(sum(n for *_, n in found))))
+        for name, start, n in found:
+            if name is not last:
+                if stream:
+                    stream.close()
+                stream, last = fs.open(name), name
+            stream.seek(start)
+            if spark._jvm.org.apache.commons.io.IOUtils.copyLarge(stream, out, 0, n) != n:
+                raise OSError(f"{name.toString()} ends early")
+        out.write(bytearray(tail))
+    finally:
+        out.close()
+        if stream:
+            stream.close()
+
+
+def write_packed(bus: DataFrame, path: str, pack: Callable[[Iterator[pa.RecordBatch]], Iterator[bytes]], head: Callable[[int], bytes], tail: bytes = b"") -> None:
+    """One file of the packed chunks of an ordered DataFrame, below ``head`` (given the bytes of all chunks; none for standard output)."""
+    spark, least = bus.sparkSession, CHUNK
+    packed = bus.select(*[F.col(c) for c in DTYPE.names]).mapInArrow(lambda batches: _gathered(pack(batches), least), "chunk binary")
+    if path == STDOUT:
+        chunks = (bytes(r[0])[8:] for r in packed.toLocalIterator(prefetchPartitions=True))
+        write_file(spark, path, (x for part in ((head(0),), chunks, (tail,)) for x in part))
+        return
+    folder = fresh(spark, "chunks")
+    try:
+        # the text sink writes a string's bytes as they are, and a line's end
+        packed.select(F.col("chunk").cast("string")).write.option("compression", "none").option("lineSep", "\n").text(folder)
+        _copied(spark, folder, path, head, tail)
+    finally:
+        at, fs = _hadoop(spark, folder)
+        fs.delete(at, True)
 
 
 def _packed(batch: pa.RecordBatch) -> np.ndarray:
@@ -108,12 +175,4 @@ def _packed(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def write_bus(bus: DataFrame, path: str, bclen: int, umilen: int, text: bytes = b"") -> None:
-    def pack(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([_packed(b).tobytes()], pa.binary())], names=["chunk"])
-
-    def every():
-        yield header(bclen, umilen, text)
-        yield from _chunks(bus, pack)
-
-    write_file(bus.sparkSession, path, every())
+    write_packed(bus, path, lambda batches: (_packed(b).tobytes() for b in batches), lambda _: header(bclen, umilen, text))

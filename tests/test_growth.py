@@ -1,12 +1,17 @@
 """What a task gets follows a fixed number of rows, not the input divided by the cores."""
 
+import glob
+
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellquill import queries as core
 from cellquill.operators import count as C
-from cellquill.plans import adapter as A
+from cellquill.operators import records as R
 from cellquill.plans import hints
+from cellquill.sources import binary, blocks
+from cellquill.sources import text as T
 
 RECORDS = "barcode long, umi long, ec int, count long, flags long, pad long"
 
@@ -45,3 +50,23 @@ def test_transcript_sets_with_a_large_dictionary(spark, records, monkeypatch):
     monkeypatch.setattr(C, "small", lambda df: False)
     monkeypatch.setattr(hints, "TASK_ROWS", 100)
     assert once and rows_of(C.transcript_sets(records, ec_tx, tx_gene)) == once
+
+
+def roundtrip(spark, df, write, read, **options):
+    path = T.fresh(spark, "roundtrip")
+    write(df, path, 8, 5, **options)
+    return path, [tuple(r) for r in read(spark, path).orderBy("_rid").drop("_rid").collect()]
+
+
+@pytest.mark.parametrize("chunk", [1, 1000, 1 << 24])
+def test_record_files_do_not_pass_the_driver(spark, records, monkeypatch, chunk):
+    """Empty partitions, chunks of any size and bytes that are no text; no rows are sent to the driver."""
+    monkeypatch.setattr(binary, "CHUNK", chunk)
+    monkeypatch.setattr(DataFrame, "toLocalIterator", None)
+    df = R.sort(records.withColumn("barcode", F.col("barcode") * 0x0A0DFF80C3)).repartitionByRange(5, "barcode").sortWithinPartitions("barcode", "umi", "ec", "flags")
+    expected = [tuple(r) for r in df.select("barcode", "umi", "ec", "count", "flags", "pad").collect()]
+    path, got = roundtrip(spark, df, binary.write_bus, binary.read_bus)
+    assert got == expected and not glob.glob(f"{path.removeprefix('file://').rpartition('/')[0]}/chunks-*")
+    assert roundtrip(spark, df, blocks.write_busz, blocks.read_busz, rows=37)[1] == expected
+    for write, read in ((binary.write_bus, binary.read_bus), (blocks.write_busz, blocks.read_busz)):
+        assert roundtrip(spark, df.where("false"), write, read)[1] == []
