@@ -95,16 +95,22 @@ def split_counts(bus: DataFrame, ec_tx: DataFrame, tx_gene: DataFrame, listed: D
 
     Molecules of several genes are tried again without the listed transcripts.
     """
-    genes = ec_tx.join(tx_gene, "tx")
-    first = molecules(bus, genes.select("ec", "gene").distinct())
-    again = molecules(bus, genes.join(listed, "tx", "left_anti").select("ec", "gene").distinct())
-    several = first.where("gn > 1").select(*MOLECULE).distinct()
-    unique = first.where("gn = 1").select(*MOLECULE, "gene").unionByName(again.where("gn = 1").join(several, list(MOLECULE), "left_semi").select(*MOLECULE, "gene"))
-    tx = classes(bus).join(dictionary(ec_tx.join(listed.withColumn("in_list", F.lit(1)), "tx", "left")), "ec")
-    tx = tx.groupBy(*MOLECULE, "tx").agg(F.count(F.lit(1)).alias("k"), F.first("n_ec").alias("n_ec"), F.first("in_list").alias("in_list")).where("k = n_ec")
-    sides = tx.groupBy(*MOLECULE).agg(F.count("in_list").alias("inside"), F.count(F.lit(1)).alias("n"))
-    part = F.when(F.coalesce("inside", F.lit(0)) == 0, F.when(F.col("n").isNull(), "split").otherwise("default")).when(F.col("inside") == F.col("n"), "split").otherwise("ambiguous")
-    return unique.join(sides, list(MOLECULE), "left").groupBy("barcode", "gene", part.alias("part")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    w = Window.partitionBy(*MOLECULE)
+    marked = ec_tx.join(listed.select("tx").distinct().withColumn("_in", F.lit(1)), "tx", "left").select("ec", "tx", F.coalesce("_in", F.lit(0)).alias("mark"))
+    # genes, marked if a class has them outside the list, and transcripts, marked if they are on it, as one dictionary
+    genes = marked.join(tx_gene, "tx").groupBy("ec", "gene").agg((1 - F.min("mark")).alias("mark"))
+    both = genes.select("ec", F.lit(True).alias("is_gene"), "gene", F.lit(None).cast(marked.schema["tx"].dataType).alias("tx"), "mark")
+    both = both.unionByName(marked.select("ec", F.lit(False).alias("is_gene"), F.lit(None).cast(genes.schema["gene"].dataType).alias("gene"), "tx", "mark"))
+    d = classes(bus).join(dictionary(both), "ec").groupBy(*MOLECULE, "is_gene", "gene", "tx")
+    d = d.agg(F.count(F.lit(1)).alias("k"), F.sum("mark").alias("marks"), F.first("n_ec").alias("n_ec")).where("k = n_ec")
+    again, number = F.col("marks") == F.col("n_ec"), lambda x: F.count(F.when(x, 1)).over(w)
+    d = d.select(
+        *MOLECULE, "is_gene", "gene", again.alias("again"), number(F.col("is_gene")).alias("gn"), number(F.col("is_gene") & again).alias("gn_again"),
+        number(~F.col("is_gene")).alias("n"), number(~F.col("is_gene") & (F.col("marks") > 0)).alias("inside"),
+    )
+    unique = d.where(F.col("is_gene") & ((F.col("gn") == 1) | (F.col("again") & (F.col("gn_again") == 1))))
+    part = F.when(F.col("inside") == 0, F.when(F.col("n") == 0, "split").otherwise("default")).when(F.col("inside") == F.col("n"), "split").otherwise("ambiguous")
+    return unique.groupBy("barcode", "gene", part.alias("part")).agg(F.count(F.lit(1)).cast("double").alias("value"))
 
 
 HISTOGRAM = 100
@@ -122,7 +128,7 @@ def copies_per_umi(hist: DataFrame) -> DataFrame:
 
 
 def copies_per_cell(m: DataFrame, multimap: bool = False) -> DataFrame:
-    m = (m if multimap else m.where("gn = 1")).select(*MOLECULE, "copies").distinct()
+    m = m.select(*MOLECULE, "copies").distinct() if multimap else m.where("gn = 1")  # then a row is a molecule
     return m.groupBy("barcode").agg((F.sum("copies") / F.count(F.lit(1))).alias("cu"), F.count(F.lit(1)).alias("umis"))
 
 

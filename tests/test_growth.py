@@ -70,3 +70,8 @@ def test_record_files_do_not_pass_the_driver(spark, records, monkeypatch, chunk)
     assert roundtrip(spark, df, blocks.write_busz, blocks.read_busz, rows=37)[1] == expected
     for write, read in ((binary.write_bus, binary.read_bus), (blocks.write_busz, blocks.read_busz)):
         assert roundtrip(spark, df.where("false"), write, read)[1] == []
+
+
+def test_split_deals_molecules_out_once(spark, sf_dir, capsys):
+    text = plan(core.QUERIES["count_split"](spark, sf_dir), capsys)  # molecules, then the sums by gene
+    assert text.count("Exchange hashpartitioning(barcode") == 2 and "SortMergeJoin" not in text
