@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dna
-from ..plans.hints import dictionary
+from ..plans.hints import dealt, dictionary
 from .count import MOLECULE, molecules
 
 ORDERS = {
@@ -253,15 +253,14 @@ def merge(bus: DataFrame, ec_tx: DataFrame) -> DataFrame:
     its own records, the transcripts of the open classes are one snapshot; the read's set is the intersection of all snapshots.
     """
     read = ("flags", "barcode", "umi")
-    seen = bus.select(*read, "pad", "ec").distinct()
-    turn = seen.withColumn("step", F.dense_rank().over(Window.partitionBy(*read).orderBy("pad"))).withColumn("last", F.max("pad").over(Window.partitionBy(*read)))
-    ends = Window.partitionBy(*read, "ec").orderBy("step")
-    spans = turn.withColumn("nth", F.row_number().over(ends)).withColumn("until", F.lead("step").over(ends))
-    steps = F.max("step").over(Window.partitionBy(*read))
-    spans = spans.withColumn("steps", steps).where("nth % 2 = 1").withColumn("until", F.coalesce("until", "steps"))
+    w, by_class = Window.partitionBy(*read), Window.partitionBy(*read, "ec").orderBy("step")
+    # dealt out by the read's number once, which all that follows keeps, also where the other two are constants
+    seen = dealt(bus.select(*read, "pad", "ec"), bus.count(), "flags").distinct()
+    turn = seen.withColumn("step", F.dense_rank().over(w.orderBy("pad"))).withColumn("steps", F.max("step").over(w))
+    spans = turn.withColumn("nth", F.row_number().over(by_class)).withColumn("until", F.lead("step").over(by_class))
+    spans = spans.where("nth % 2 = 1").withColumn("until", F.coalesce("until", "steps"))
     open_at = spans.where("until > step").select(*read, "ec", F.explode(F.sequence(F.col("step") + 1, F.col("until"))).alias("snap"))
-    tx = open_at.join(dictionary(ec_tx), "ec").select(*read, "snap", "tx").distinct()
-    snaps = open_at.select(*read, "snap").distinct().groupBy(*read).agg(F.count(F.lit(1)).alias("n"))
-    kept = tx.groupBy(*read, "tx").agg(F.count(F.lit(1)).alias("k")).join(snaps, list(read)).where("k = n")
+    open_at = open_at.withColumn("_nth", F.dense_rank().over(w.orderBy("snap"))).withColumn("n", F.max("_nth").over(w)).drop("_nth")
+    tx = open_at.join(dictionary(ec_tx), "ec").groupBy(*read, "snap", "tx").agg(F.first("n").alias("n"))
+    kept = tx.groupBy(*read, "tx").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n")).where("k = n")
     return kept.groupBy(*read).agg(F.array_join(F.array_sort(F.collect_set("tx")), ",").alias("txs"))
-

@@ -75,3 +75,8 @@ def test_record_files_do_not_pass_the_driver(spark, records, monkeypatch, chunk)
 def test_split_deals_molecules_out_once(spark, sf_dir, capsys):
     text = plan(core.QUERIES["count_split"](spark, sf_dir), capsys)  # molecules, then the sums by gene
     assert text.count("Exchange hashpartitioning(barcode") == 2 and "SortMergeJoin" not in text
+
+
+def test_merge_deals_reads_out_once(spark, sf_dir, capsys):
+    text = plan(core.QUERIES["merge"](spark, sf_dir), capsys)
+    assert text.count("Exchange hashpartitioning(flags") == 1 and "SortMergeJoin" not in text
