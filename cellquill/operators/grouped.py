@@ -117,16 +117,19 @@ def collided(sets: list[frozenset]) -> list[frozenset]:
 
 def gene_counts_with_collisions(bus: DataFrame, ec_gene: DataFrame) -> DataFrame:
     """Gene counts where a UMI without a common gene counts as several molecules."""
-    one = molecules(bus, ec_gene)
-    clash = classes(bus).join(one.select(*MOLECULE).distinct(), list(MOLECULE), "left_anti").join(dictionary(gene_sets(ec_gene)), "ec")
-    clash = clash.groupBy(*MOLECULE).agg(F.array_sort(F.collect_list(F.struct("ec", "genes"))).alias("sets")).select("barcode", F.transform("sets", lambda x: x["genes"]).alias("sets"))
+    # each molecule's known classes with their genes, and the genes that all its classes share; one dealing out serves both branches
+    sets = classes(bus).join(dictionary(gene_sets(ec_gene)), "ec").groupBy(*MOLECULE).agg(F.array_sort(F.collect_list(F.struct("ec", "genes"))).alias("sets"), F.first("n_ec").alias("n_ec"))
+    sets = sets.select("barcode", F.transform("sets", lambda x: x["genes"]).alias("sets"), "n_ec")
+    shared = F.when(F.size("sets") == F.col("n_ec"), F.aggregate("sets", F.get("sets", F.lit(0)), F.array_intersect)).otherwise(F.array().cast("array<string>"))
+    sets = sets.select("barcode", "sets", shared.alias("shared"))
+    clash = sets.where("size(shared) = 0").select("barcode", "sets")
 
     def sweep(batches):
         for b in batches:
             found = [(c, next(iter(s))) for c, sets in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for s in collided([frozenset(x) for x in sets]) if len(s) == 1]
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.string())], names=["barcode", "gene"])
 
-    every = one.where("gn = 1").select("barcode", "gene").unionByName(clash.mapInArrow(sweep, "barcode long, gene string"))
+    every = sets.where("size(shared) = 1").select("barcode", F.get("shared", F.lit(0)).alias("gene")).unionByName(clash.mapInArrow(sweep, "barcode long, gene string"))
     return every.groupBy("barcode", "gene").agg(F.count(F.lit(1)).cast("double").alias("value"))
 
 

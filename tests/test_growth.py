@@ -80,3 +80,8 @@ def test_split_deals_molecules_out_once(spark, sf_dir, capsys):
 def test_merge_deals_reads_out_once(spark, sf_dir, capsys):
     text = plan(core.QUERIES["merge"](spark, sf_dir), capsys)
     assert text.count("Exchange hashpartitioning(flags") == 1 and "SortMergeJoin" not in text
+
+
+def test_collisions_deal_molecules_out_once_a_branch(spark, sf_dir, capsys):
+    text = plan(core.QUERIES["count_umigene"](spark, sf_dir), capsys)  # the branches' is the same one; then the sums
+    assert text.count("Exchange hashpartitioning(barcode") == 3 and "SortMergeJoin" not in text
