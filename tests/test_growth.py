@@ -85,3 +85,12 @@ def test_merge_deals_reads_out_once(spark, sf_dir, capsys):
 def test_collisions_deal_molecules_out_once_a_branch(spark, sf_dir, capsys):
     text = plan(core.QUERIES["count_umigene"](spark, sf_dir), capsys)  # the branches' is the same one; then the sums
     assert text.count("Exchange hashpartitioning(barcode") == 3 and "SortMergeJoin" not in text
+
+
+MOLECULES = ["count_genes", "count_genes_multimap", "count_genes_raw", "count_genes_raw_multimap", "count_hist", "count_hist_multimap", "count_cu", "count_cu_per_cell", "count_downsample", "count_em", "clusterhist", "collapse", "predict", "count_umigene", "count_split", "count_tcc"]
+
+
+@pytest.mark.parametrize("name", MOLECULES)
+def test_queries_of_molecules_get_tasks_by_rows(spark, sf_dir, capsys, monkeypatch, name):
+    monkeypatch.setattr(hints, "TASK_ROWS", 1000)
+    assert "6), REPARTITION_BY_NUM" in plan(core.QUERIES[name](spark, sf_dir), capsys)  # of about 6,000 records
